@@ -1,0 +1,5 @@
+"""No streaming operators: the work this library covers is run-to-completion batch work.
+
+The row-wise column functions in :mod:`tagloom.functions` and the row-wise frame operators also
+accept a streaming DataFrame unchanged, because they never shuffle and keep no state.
+"""
