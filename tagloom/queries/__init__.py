@@ -9,6 +9,7 @@ from tagloom.queries import (  # noqa: F401  (importing a module registers its q
     models,
     sampling,
     sources,
+    workflows,
 )
 from tagloom.queries.registry import ORACLES, QUERIES
 

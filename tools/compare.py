@@ -23,6 +23,9 @@ TABLES = (
 ).split()
 
 
+SIZES: dict[str, int] = {}
+
+
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -42,6 +45,7 @@ def shape(table) -> tuple[list[str], list[str], list[tuple]]:
 def compare(con, spark, name: str, sf: str) -> str:
     """Empty when equal, else what differs."""
     got = shape(QUERIES[name](spark, sf).toArrow())
+    SIZES[name] = len(got[2])
     if name not in ORACLES:
         return "" if got[2] else "no rows"
     want = shape(con.sql(ORACLES[name]).to_arrow_table())
@@ -81,7 +85,7 @@ def main() -> int:
             problem = f"{type(error).__name__}: {error}"[:900]
         failed += bool(problem)
         kind = "sql" if name in ORACLES else "rows"
-        print(f"{'FAIL' if problem else 'ok':4} {kind:4} {time.time() - start:6.1f}s {name} {problem}", flush=True)
+        print(f"{'FAIL' if problem else 'ok':4} {kind:4} {time.time() - start:6.1f}s {name} [{SIZES.get(name)}] {problem}", flush=True)
     print(f"{failed} failed")
     return int(bool(failed))
 
