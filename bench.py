@@ -18,7 +18,7 @@ from tagloom.queries import QUERIES  # noqa: E402
 from tagloom.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "read_records", "quarantine_bad", "field_dictionary", "pivot_attributes", "wide_attributes",
+    "attribute_workflow", "quarantine_bad", "field_dictionary", "pivot_attributes", "wide_attributes",
     "drop_null_markers", "clean_value", "build_prompt", "label_records", "missing_records",
     "pending_prompts", "geo_backfill", "standardise_host", "tag_entities", "nearest_neighbours",
     "weighted_sample", "split_first_n", "batch_ids", "majority_vote", "classification_report",

@@ -121,7 +121,8 @@ WORD_CLASS = r"[\p{L}\p{N}_]"
 TOKEN_PATTERN = WORD_CLASS + "{2,}"
 
 # Characters that Python's str.strip() removes.
-STRIP_CLASS = (
-    r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+STRIP_CHARACTERS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )

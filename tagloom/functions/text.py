@@ -81,23 +81,24 @@ def tokens(c: ColumnOrName, stop_words: Iterable[str] = ()) -> Column:
 def ngrams(words: ColumnOrName, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` neighbouring words, joined by blanks.
 
-    Pass a column that is already computed (not an expression over text): the words are looked
-    up once per position.
+    A null word breaks the run. Pass a column that is already computed (not an expression over
+    text): the words are looked up once per position.
     """
     words = as_column(words)
 
     def runs(n: int) -> Column:
-        if n == 1:
-            return words
-        grams = F.transform(
-            words,
-            lambda _w, i: F.when(
-                i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " ")
-            ),
-        )
-        return F.filter(grams, lambda g: g.isNotNull())
-
-    return F.concat(*[runs(n) for n in range(low, high + 1)])
+        return F.transform(words, lambda w, i: run_of_words(words, w, i, n))
+
+    grams = F.concat(*[runs(n) for n in range(low, high + 1)])
+    return F.filter(grams, lambda g: g.isNotNull())
+
+
+def run_of_words(words: Column, first: Column, position: Column, n: int) -> Column:
+    """``n`` words from a position on, null when there are not enough or one is null."""
+    following = []
+    for k in range(1, n):
+        following += [F.lit(" "), F.get(words, position + k)]
+    return F.concat(first, *following)
 
 
 def pieces(c: ColumnOrName) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.constants import NULL_MARKERS, SHARD_LENGTH, STRIP_CLASS, UNKNOWN
+from tagloom.constants import NULL_MARKERS, SHARD_LENGTH, STRIP_CHARACTERS, UNKNOWN
 
 ColumnOrName = Column | str
 
@@ -19,7 +19,7 @@ def as_column(c: ColumnOrName) -> Column:
 
 def strip(c: ColumnOrName) -> Column:
     """Remove white space of any script from both ends."""
-    return F.regexp_replace(as_column(c), rf"\A{STRIP_CLASS}+|{STRIP_CLASS}+\z", "")
+    return F.btrim(as_column(c), F.lit(STRIP_CHARACTERS))
 
 
 def is_null_marker(c: ColumnOrName, markers: Iterable[str] = NULL_MARKERS) -> Column:

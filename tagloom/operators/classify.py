@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import HashingTF, RobustScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +24,7 @@ from tagloom.functions import arrays as fn
 from tagloom.functions import text as words
 from tagloom.functions.values import as_column
 from tagloom.operators.evaluate import accuracy_matrix
-from tagloom.operators.labels import encode_labels, train_test_split
+from tagloom.operators.labels import class_list, encode_labels, train_test_split
 from tagloom.operators.vectors import as_ml_vector, l2_normalize, mean_vector
 from tagloom.sources.readers import PREDICTION_SCHEMA
 
@@ -127,7 +127,7 @@ def naive_bayes(
         return hashing.transform(df.withColumn("__words", words.tokens(text, stop)))
 
     model = NaiveBayes(featuresCol="__tf", labelCol="__y", predictionCol="__p").fit(counted(known))
-    names = [r[0] for r in known.select("__y", as_column(label)).distinct().orderBy("__y").select(label).collect()]
+    names = class_list(known, label)  # in the order of their numbers
     table = F.array(*[F.lit(n) for n in names])
     return (
         model.transform(counted(test))
@@ -198,7 +198,3 @@ def score_batches(
             yield scorer(batch)
 
     return chosen.mapInPandas(run, schema)
-
-
-def vector_as_array(c: str):
-    return vector_to_array(c)

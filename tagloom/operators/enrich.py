@@ -63,7 +63,7 @@ def standardise_host(df: DataFrame, names: DataFrame, host: str) -> DataFrame:
         F.min(F.struct("common_name", "scientific_name")).alias("__pair")
     )
     keyed = df.withColumn("__key", host_key(host))
-    return lookup_join(keyed, synonyms, ["__key"], "left").select(
+    return lookup_join(keyed, synonyms, ["__key"], "left", measured=pairs).select(
         *[as_column(c) for c in df.columns], "__pair.common_name", "__pair.scientific_name"
     )
 
@@ -75,7 +75,7 @@ def niche_check(df: DataFrame, scheme: DataFrame, niche: str, label: str) -> Dat
         .distinct()
         .withColumn("__ok", F.lit(True))
     )
-    return lookup_join(df, allowed, [niche, label], "left").select(
+    return lookup_join(df, allowed, [niche, label], "left", measured=scheme).select(
         *[as_column(c) for c in df.columns],
         F.coalesce(F.col("__ok"), F.lit(False)).alias("in_scheme"),
     )
@@ -135,7 +135,7 @@ def tag_entities(
             lambda w, i: F.when(
                 starts_a_term(w) & (i + n <= F.size("__words")),
                 F.struct(
-                    F.array_join(F.slice("__words", i + 1, n), " ").alias("term"),
+                    fn.run_of_words(F.col("__words"), w, i, n).alias("term"),
                     F.get("__from", i).alias("start"),
                     F.get("__to", i + n - 1).alias("end"),
                 ),
@@ -145,7 +145,7 @@ def tag_entities(
 
     every_run = F.concat(*[runs(n) for n in range(1, max_words + 1)])
     found = unnest(words, every_run, ["sample_id"], "run").select("sample_id", "run.*")
-    return lookup_join(found, listed, ["term"]).select("sample_id", "term", "label", "start", "end")
+    return lookup_join(found, listed, ["term"], measured=gazetteer).select("sample_id", "term", "label", "start", "end")
 
 
 def _first_word_test(terms: DataFrame, most: int = 5_000):

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.01
 SALTS = 64
@@ -20,15 +20,15 @@ _SALT = "__salt"
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True when ``df`` has at most that many rows and bytes; reads no further than the limit."""
+    """True when ``df`` has at most that many rows and bytes.
+
+    Rows are counted first, which for stored tables reads no column; bytes only when the rows
+    are few. Both are distributed sums.
+    """
+    if df.count() > max_rows:
+        return False
     size = F.octet_length(F.to_json(F.struct(*[F.col(_quoted(c)) for c in df.columns])))
-    seen = (
-        df.limit(max_rows + 1)
-        .select(size.alias("bytes"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
-        .first()
-    )
-    return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
+    return (df.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0) <= max_bytes
 
 
 def lookup_join(
@@ -38,13 +38,20 @@ def lookup_join(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
+    measured: DataFrame | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Join rows to a table that is usually small, whatever size it turns out to have.
 
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. ``measured`` is a table no
+    smaller than ``right`` and cheaper to measure, e.g. the one whose distinct rows ``right`` has.
+    ``keep`` stores ``right`` when it is measured, for a right side that is the result of an
+    aggregate over a large table.
     """
     on = list(on)
-    if fits(right, max_rows, max_bytes):
+    if keep:
+        right = right.persist()
+    if fits(right if measured is None else measured, max_rows, max_bytes):
         return left.join(F.broadcast(right), on, how)
     return spread_join(left, right, on, how)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,22 +48,32 @@ def last_wins(df: DataFrame, sample_id: str, pos: str) -> DataFrame:
 
 
 def label_records(
-    records: DataFrame, labels: DataFrame, sample_id: str = "sample_id"
+    records: DataFrame, labels: DataFrame, sample_id: str = "sample_id", keep: bool = False
 ) -> DataFrame:
-    """Records that have a label, with the label columns. ``labels`` has one row per id."""
-    return lookup_join(records, labels, [sample_id])
+    """Records that have a label, with the label columns. ``labels`` has one row per id.
+
+    ``keep`` stores the labels, for a sample that would otherwise be drawn twice.
+    """
+    return lookup_join(records, labels, [sample_id], keep=keep)
 
 
-def restrict_to_ids(df: DataFrame, ids: DataFrame, sample_id: str = "sample_id") -> DataFrame:
-    return lookup_join(df, ids.select(as_column(sample_id)).distinct(), [sample_id], "left_semi")
+def restrict_to_ids(
+    df: DataFrame, ids: DataFrame, sample_id: str = "sample_id", keep: bool = False
+) -> DataFrame:
+    """Rows whose id is on the list."""
+    listed = ids.select(as_column(sample_id))
+    if keep:
+        listed = listed.persist()
+    return lookup_join(df, listed.distinct(), [sample_id], "left_semi", measured=listed)
 
 
 def missing_records(
     wanted: DataFrame, stored: DataFrame, sample_id: str = "sample_id"
 ) -> DataFrame:
     """Rows whose id is not stored yet."""
-    known = stored.select(as_column(sample_id)).filter(as_column(sample_id).isNotNull()).distinct()
-    return lookup_join(wanted, known, [sample_id], "left_anti")
+    known = stored.select(as_column(sample_id))
+    present = known.filter(as_column(sample_id).isNotNull()).distinct()
+    return lookup_join(wanted, present, [sample_id], "left_anti", measured=known)
 
 
 def pending_prompts(
@@ -97,7 +107,7 @@ def class_weight(
     counts = df.groupBy(as_column(label)).agg(F.count(F.lit(1)).alias("__n"))
     weight = F.lit(1.0) / F.col("__n") if equal else F.col("__n").cast("double")
     return (
-        lookup_join(df, counts, [label], "left")
+        lookup_join(df, counts, [label], "left", keep=True)
         .withColumn(name, weight)
         .select(*[as_column(c) for c in df.columns], as_column(name))
     )
@@ -162,7 +172,8 @@ def train_test_split(
 
 def encode_labels(df: DataFrame, label: str, name: str = "label_no") -> DataFrame:
     """Classes in sorted order as 0, 1, 2, ..."""
-    model = StringIndexer(
-        inputCol=label, outputCol="__index", stringOrderType="alphabetAsc", handleInvalid="error"
-    ).fit(df)
+    names = [str(c) for c in class_list(df, label)]
+    model = StringIndexerModel.from_labels(
+        names, inputCol=label, outputCol="__index", handleInvalid="error"
+    )
     return model.transform(df).withColumn(name, F.col("__index").cast("int")).drop("__index")

@@ -47,7 +47,8 @@ def extract_category(
     """Adds the category a reply names and whether it is one of the allowed ones."""
     allowed = categories.select(as_column(category).alias("category")).distinct()
     read = df.withColumn("category", fn.answer_category(answer))
-    return lookup_join(read, allowed.withColumn("__known", F.lit(True)), ["category"], "left").select(
+    known = allowed.withColumn("__known", F.lit(True))
+    return lookup_join(read, known, ["category"], "left", keep=True).select(
         *[as_column(c) for c in df.columns],
         "category",
         F.coalesce(F.col("__known"), F.lit(False)).alias("is_allowed"),
@@ -75,7 +76,7 @@ def token_counts(
 def lemmatise(tokens: DataFrame, lemmas: DataFrame, token: str = "token") -> DataFrame:
     """Replace tokens by their lemma where a (token, lemma) table has one."""
     table = lemmas.groupBy(as_column(token)).agg(F.min("lemma").alias("__lemma"))
-    joined = lookup_join(tokens, table, [token], "left")
+    joined = lookup_join(tokens, table, [token], "left", measured=lemmas)
     return joined.withColumn(token, F.coalesce(F.col("__lemma"), as_column(token))).select(
         *[as_column(c) for c in tokens.columns]
     )
@@ -103,7 +104,7 @@ def unrecognised_share(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     known = vocabulary.select(as_column(token)).distinct().withColumn("__known", F.lit(True))
-    flagged = lookup_join(counted, known, [token], "left")
+    flagged = lookup_join(counted, known, [token], "left", keep=True)
     unknown = F.sum(F.when(F.col("__known").isNull(), F.col("n")).otherwise(F.lit(0)))
     return (
         flagged.groupBy(as_column(group))

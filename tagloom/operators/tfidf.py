@@ -1,8 +1,8 @@
 """TF-IDF over word n-grams with a fixed number of features.
 
-Two passes over the text. The first counts n-grams over the whole corpus; it shuffles counts, not
-texts. The second turns each text into a sparse vector on its own, so it does not shuffle at all:
-the vocabulary is the only thing shared, and its size is the number of features.
+Fitting counts words and n-grams over the whole corpus; it shuffles counts, not texts. Each text
+is then turned into a sparse vector on its own, without a shuffle: the vocabulary is the only thing
+shared, and its size is the number of features.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from tagloom.functions.arrays import unnest
 from tagloom.functions.values import as_column
 
 MOST_FEATURES = 1_000_000
+MOST_LISTED = 5_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,9 @@ class TfidfModel:
         """Adds a sparse vector: count times idf, scaled to length 1; all zero without a term."""
         if not self.terms:
             raise ValueError("the vocabulary is empty: no term passed the frequency limits")
-        grams = _with_grams(df, text, self.ngram_range, self.stop_words)
+        words = sorted({w for t in self.terms for w in t.split(" ")})
+        only = words if len(words) <= MOST_LISTED else None
+        grams = _with_grams(df, text, self.ngram_range, self.stop_words, only)
         counter = CountVectorizerModel.from_vocabulary(
             self.terms, inputCol="__grams", outputCol="__tf"
         )
@@ -78,14 +81,16 @@ def term_statistics(
     text: str,
     ngram_range: tuple[int, int] = TFIDF_NGRAMS,
     stop_words: Iterable[str] = (),
+    only: list[str] | None = None,
 ) -> DataFrame:
     """(term, tf, df): occurrences in all texts and number of texts with the term.
 
     The n-grams of a text are sorted inside the row, so the first of equal ones can be told from
     the rest; both numbers then come from one aggregate that adds up before its shuffle. Grouping
-    by text and term first would shuffle every n-gram.
+    by text and term first would shuffle every n-gram. ``only`` restricts the n-grams to those
+    made of these words alone.
     """
-    grams = _with_grams(df, text, ngram_range, tuple(stop_words)).select(
+    grams = _with_grams(df, text, ngram_range, tuple(stop_words), only).select(
         F.sort_array("__grams").alias("__sorted")
     )
     entries = F.transform(
@@ -125,22 +130,54 @@ def fit_tfidf(
     min_df: int = TFIDF_MIN_DF,
     max_df: float = TFIDF_MAX_DF,
 ) -> TfidfModel:
-    """Count the corpus and keep the ``max_features`` terms."""
+    """Count the corpus and keep the ``max_features`` terms.
+
+    Single words are counted first. An n-gram is no more frequent than its rarest word, so only
+    words as frequent as the last single word on the list can be part of one that makes it. Runs
+    with any other word are not even built, and the result is the same.
+    """
+    low, high = ngram_range
     stop = tuple(stop_words)
     present = df.filter(as_column(text).isNotNull())
-    chosen = vocabulary(
-        term_statistics(present, text, ngram_range, stop),
-        present.count(),
-        max_features,
-        min_df,
-        max_df,
-    )
-    rows = sorted((r["term"], r["idf"]) for r in chosen.collect())  # max_features rows
+    n_texts = present.count()
+    single = term_statistics(present, text, (1, 1), stop).persist()
+    try:
+        parts = [single] if low == 1 else []
+        if high > 1:
+            kept = _frequent_words(single, n_texts, max_features if low == 1 else 0, min_df, max_df)
+            parts.append(term_statistics(present, text, (max(low, 2), high), stop, kept))
+        statistics = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        chosen = vocabulary(statistics, n_texts, max_features, min_df, max_df)
+        rows = sorted((r["term"], r["idf"]) for r in chosen.collect())  # max_features rows
+    finally:
+        single.unpersist()
     return TfidfModel([t for t, _ in rows], [w for _, w in rows], ngram_range, stop)
 
 
+def _frequent_words(
+    single: DataFrame, n_texts: int, max_features: int, min_df: int, max_df: float
+) -> list[str] | None:
+    """Words that can be part of a chosen n-gram; None when they are too many to list."""
+    least = min_df
+    if max_features:
+        best = vocabulary(single, n_texts, max_features, min_df, max_df)
+        last = best.agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
+        if last["n"] == max_features:
+            least = last["tf"]
+    found = single.filter(F.col("tf") >= least).select("term").limit(MOST_LISTED + 1).collect()
+    return [r["term"] for r in found] if len(found) <= MOST_LISTED else None
+
+
 def _with_grams(
-    df: DataFrame, text: str, ngram_range: tuple[int, int], stop_words: tuple[str, ...]
+    df: DataFrame,
+    text: str,
+    ngram_range: tuple[int, int],
+    stop_words: tuple[str, ...],
+    only: list[str] | None = None,
 ) -> DataFrame:
+    """Adds the n-grams; with ``only``, those made of these words alone."""
     words = df.withColumn("__words", fn.tokens(text, stop_words))
+    if only is not None:
+        listed = F.transform("__words", lambda w: F.when(w.isin(*only), w))
+        words = words.withColumn("__words", listed)
     return words.withColumn("__grams", fn.ngrams("__words", *ngram_range))

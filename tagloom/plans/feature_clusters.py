@@ -37,7 +37,7 @@ def labelled_sample(
     else:
         weighted = lb.class_weight(usable, weight_field, equal=how == "equal")
         chosen = lb.weighted_sample(weighted, n, "weight", "sample_id", seed).drop("weight")
-    return at.null_markers(lb.label_records(attributes, chosen), fields, markers)
+    return at.null_markers(lb.label_records(attributes, chosen, keep=True), fields, markers)
 
 
 def tfidf_features(

@@ -28,7 +28,7 @@ def prompts(
     """Prompts for ``n`` labelled records: (sample_id, prompt)."""
     usable = lb.labelled_only(labels)
     chosen = lb.uniform_sample(usable, n, "sample_id", seed)
-    found = lb.restrict_to_ids(attributes, chosen)
+    found = lb.restrict_to_ids(attributes, chosen, keep=True)
     cleaned = at.null_markers(found, fields, markers)
     return tx.build_prompts(cleaned, fields, lb.class_list(usable, "source_type"))
 
