@@ -60,7 +60,7 @@ def numbered(ids: DataFrame, id_column: str, number: str, seed: int = 0) -> Data
     )
     inside = Window.partitionBy(_BUCKET).orderBy(_KEY, id_column)
     return (
-        keyed.join(F.broadcast(offsets), _BUCKET)  # at most 65,536 rows of two numbers
+        keyed.join(F.broadcast(offsets), _BUCKET, "left")  # at most 65,536 rows of two numbers
         .withColumn(number, F.col("__offset") + F.row_number().over(inside) - 1)
         .select(id_column, number)
     )
