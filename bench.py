@@ -51,6 +51,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
         spark.catalog.clearCache()
     print(
         json.dumps(

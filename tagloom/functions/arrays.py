@@ -105,3 +105,13 @@ def unnest(
         F.posexplode_outer(values).alias(pos, name) if pos else F.explode_outer(values).alias(name)
     )
     return df.select(*[as_column(k) for k in keep], entry).filter(F.col(name).isNotNull())
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once per row, whatever is done with it later.
+
+    A filter on an ordinary computed column is pushed below it with the whole expression copied
+    into the filter, once per mention. Nothing is pushed below a generated column, so an
+    expensive value (parsed JSON) goes through a generator with one entry.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.constants import CORE_FIELDS, FIELD_PREFIX, NULL_MARKERS, SOURCE_FIELDS
-from tagloom.functions.arrays import unnest
+from tagloom.functions.arrays import once, unnest
 from tagloom.functions.values import (
     as_column,
     as_json_array,
@@ -45,7 +45,7 @@ def parse_records(df: DataFrame, raw: str = "raw", file_id: str | None = None) -
     parsed = F.from_json(
         as_column(raw), _RECORD_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}
     )
-    record = df.withColumn("__record", parsed)
+    record = once(df, "__record", parsed)
     body_id = F.col("__record.`@accession`")
     malformed = F.col("__record").isNull() | F.col("__record._corrupt_record").isNotNull()
     sample_id = as_column(file_id) if file_id else body_id

@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import HashingTF, RobustScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,27 +154,32 @@ def tag_scores(
     rows = centroids.orderBy(as_column(label)).limit(max_classes + 1).collect()
     if len(rows) > max_classes:
         raise ValueError(f"more than {max_classes} classes in {label!r}")
-    scored = tags.withColumn("__unit", fn.unit(vector))
-    scores = F.array(
+    classes = F.array(
         *[
-            F.struct(
-                F.lit(r[label]).alias("label"),
-                fn.dot("__unit", F.lit([float(x) for x in r["centroid"]])).alias("score"),
-            )
+            F.struct(F.lit(r[label]).alias("label"), F.lit([float(x) for x in r["centroid"]]).alias("c"))
             for r in rows
         ]
     )
-    return scored.withColumn("scores", scores).drop("__unit")
+    # the vector is mentioned once, so that a filter on the result does not multiply the work
+    per_tag = F.transform(
+        F.array(fn.unit(vector)),
+        lambda v: F.transform(
+            classes,
+            lambda k: F.struct(k["label"].alias("label"), fn.dot(v, k["c"]).alias("score")),
+        ),
+    )
+    return tags.withColumn("scores", F.get(per_tag, F.lit(0)))
 
 
-def best_score(scores: str = "scores"):
+def best_score(scores: str = "scores") -> Column:
     """The (label, score) with the highest score; ties by label."""
-    # entries are in label order, so the first of equal scores is the right one
-    return F.aggregate(
-        F.slice(as_column(scores), 2, F.greatest(F.size(as_column(scores)) - 1, F.lit(0))),
-        F.get(as_column(scores), F.lit(0)),
-        lambda best, s: F.when(s["score"] > best["score"], s).otherwise(best),
+    # entries are in label order, so of equal scores the first entry is the right one
+    ranked = F.transform(
+        as_column(scores),
+        lambda s, i: F.struct(s["score"].alias("score"), (-i).alias("i"), s["label"].alias("label")),
     )
+    best = F.array_max(ranked)
+    return F.struct(best["label"].alias("label"), best["score"].alias("score"))
 
 
 def score_batches(

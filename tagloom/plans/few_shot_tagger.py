@@ -38,7 +38,7 @@ class Tagger:
         best = cf.tag_scores(vectors, "v", self.centroids, self.label).select(
             "value", cf.best_score().alias("best")
         )
-        voted = lookup_join(tags, best, ["value"]).select(
+        voted = lookup_join(tags, best, ["value"], keep=True).select(
             "sample_id",
             F.col("best.label").alias("predicted"),
             F.col("best.score").alias("score"),
