@@ -6,6 +6,7 @@ key, and keys that are frequent on the left side are spread over several tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 0.01
-SALTS = 64
+HOT_SHARE = 0.001
+TASK_SHARE = 0.0001
+SPREAD_ROWS = 1_000_000
 
 _SALT = "__salt"
 
@@ -62,40 +64,56 @@ def spread_join(
     on: Sequence[str],
     how: str = "inner",
     hot_share: float = HOT_SHARE,
-    salts: int = SALTS,
+    task_share: float = TASK_SHARE,
+    min_rows: int = SPREAD_ROWS,
 ) -> DataFrame:
-    """Shuffle join that spreads the left rows of frequent keys over ``salts`` tasks.
+    """Shuffle join that spreads the left rows of frequent keys over many tasks.
 
-    The frequent keys come from one pass over the key columns; there are at most
-    ``1 / hot_share`` of them. Only their rows on the right are repeated. The salt of a left row
-    is a hash of the row, so a task that runs again sends it to the same place.
+    A key with at least ``hot_share`` of the left rows is cut into parts of about ``task_share``
+    of them, and its right rows are repeated once per part; together that is at most about
+    ``2 / task_share`` repetitions. The part of a left row follows from a hash of the row, so a
+    task that runs again sends it to the same place. The frequent keys take two passes over the
+    key columns of ``left``; a side of fewer than ``min_rows`` rows is joined as it is.
     """
     on = list(on)
-    hot = _hot_values(left, on, hot_share)
-    if not hot:
-        return left.join(right, on, how)
     rest = [c for c in left.columns if c not in on]
+    if left.count() < min_rows:
+        return left.join(right, on, how)
     if not rest:
-        # nothing tells equal rows apart, so they cannot be spread; AQE still splits them
+        # nothing tells equal rows apart, so they cannot be spread; adaptive execution splits them
+        return left.join(right, on, how)
+    parts_of = _parts_per_key(left, on, hot_share, task_share)
+    if not parts_of:
         return left.join(right, on, how)
-    is_hot = F.xxhash64(*[F.col(_quoted(c)) for c in on]).isin(*hot)
+    key = F.xxhash64(*[F.col(_quoted(c)) for c in on])
+    parts = F.lit(1)
+    for n, keys in parts_of.items():
+        parts = F.when(key.isin(*keys), F.lit(n)).otherwise(parts)
     row_hash = F.xxhash64(*[_hashable(left, c) for c in rest])
-    salted_left = left.withColumn(
-        _SALT, F.when(is_hot, F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    )
-    salted_right = right.withColumn(
-        _SALT,
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
+    salted_left = left.withColumn(_SALT, F.pmod(row_hash, parts).cast("int"))
+    salted_right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
     return salted_left.join(salted_right, [*on, _SALT], how).drop(_SALT)
 
 
-def _hot_values(df: DataFrame, on: list[str], share: float) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows (a few more may be named)."""
+def _parts_per_key(
+    df: DataFrame, on: list[str], hot_share: float, task_share: float
+) -> dict[int, list[int]]:
+    """Number of parts -> hashes of the keys to be cut into that many (powers of two)."""
     keys = df.select(F.xxhash64(*[F.col(_quoted(c)) for c in on]).alias("k"))
-    return list(keys.stat.freqItems(["k"], share).first()[0] or [])
+    # a bounded sketch names every key with that share, and perhaps some others
+    named = list(keys.stat.freqItems(["k"], hot_share).first()[0] or [])
+    if not named:
+        return {}
+    known = F.col("k").isin(*named)
+    counts = keys.groupBy(F.when(known, F.col("k")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.collect()  # one per named key and one for the others
+    total = sum(r["n"] for r in rows)
+    parts: dict[int, list[int]] = {}
+    for r in rows:
+        if r["k"] is not None and r["n"] >= hot_share * total and r["n"] > 1:
+            wanted = r["n"] / (task_share * total)
+            parts.setdefault(2 ** max(1, math.ceil(math.log2(max(wanted, 2)))), []).append(r["k"])
+    return parts
 
 
 def _hashable(df: DataFrame, name: str):

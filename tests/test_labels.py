@@ -28,7 +28,7 @@ def skewed(spark):
 def test_spread_join_equals_plain_join(spark, skewed, how):
     right = spark.range(500).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
     plain = skewed.join(right, "key", how)
-    spread = joins.spread_join(skewed, right, ["key"], how)
+    spread = joins.spread_join(skewed, right, ["key"], how, min_rows=0)
     assert spread.columns == plain.columns
     assert sorted(spread.collect()) == sorted(plain.collect()) or how == "left" and sorted(
         map(str, spread.collect())
@@ -37,7 +37,7 @@ def test_spread_join_equals_plain_join(spark, skewed, how):
 
 def test_spread_join_splits_the_hot_key(spark, skewed):
     right = spark.range(500).select(F.col("id").alias("key"))
-    found = joins.spread_join(skewed, right, ["key"])
+    found = joins.spread_join(skewed, right, ["key"], min_rows=0)
     assert "__salt" in plan(found)
     # rows of the hot key end up in many partitions
     settings = {
@@ -48,7 +48,7 @@ def test_spread_join_splits_the_hot_key(spark, skewed):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        hot = joins.spread_join(skewed, right, ["key"]).filter("key = 0")
+        hot = joins.spread_join(skewed, right, ["key"], min_rows=0).filter("key = 0")
         parts = hot.select(F.spark_partition_id().alias("p")).distinct().count()
     finally:
         for key, value in before.items():
@@ -56,6 +56,13 @@ def test_spread_join_splits_the_hot_key(spark, skewed):
     assert parts > 1
 
 
+def test_parts_follow_the_share_of_a_key(spark, skewed):
+    parts = joins._parts_per_key(skewed, ["key"], 0.01, 0.001)
+    assert list(parts) == [512]  # a third of the rows, in parts of a thousandth
+    assert len(parts[512]) == 1
+    assert joins._parts_per_key(spark.range(1000), ["id"], 0.01, 0.001) == {}
+
+
 def test_lookup_join_beyond_the_limit(spark, skewed):
     right = spark.range(500).select(F.col("id").alias("key"))
     small = joins.lookup_join(skewed, right, ["key"])
