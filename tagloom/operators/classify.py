@@ -34,11 +34,13 @@ RANDOM_FOREST = "Random_Forest"
 DECISION_TREE = "Decision_Tree"
 
 
-def classifiers(seed: int = SPLIT_SEED, max_depth: int = 30, trees: int = 100) -> dict:
+def classifiers(
+    seed: int = SPLIT_SEED, max_depth: int = 30, trees: int = 100, svm_iterations: int = 100
+) -> dict:
     """The four compared classifiers. The support vector machine is linear."""
     return {
         LOGISTIC_REGRESSION: LogisticRegression(family="multinomial", maxIter=400),
-        SVM: OneVsRest(classifier=LinearSVC(maxIter=100), parallelism=4),
+        SVM: OneVsRest(classifier=LinearSVC(maxIter=svm_iterations), parallelism=8),
         RANDOM_FOREST: RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed),
         DECISION_TREE: DecisionTreeClassifier(maxDepth=max_depth, seed=seed),
     }

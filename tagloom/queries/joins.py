@@ -187,11 +187,12 @@ def niche_check(spark: SparkSession, sf: str) -> DataFrame:
         SELECT doc_id, s, (s + length(piece))::INTEGER AS e, lower(piece) AS w,
                lead(lower(piece)) OVER o AS w2, lead((s + length(piece))::INTEGER) OVER o AS e2
         FROM placed WHERE regexp_matches(piece, '[\p{L}\p{N}_]') WINDOW o AS (PARTITION BY doc_id ORDER BY i)
-    ), heads AS (
+    ), listed AS (
         SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS h FROM benchmark
     ), terms AS (
-        SELECT DISTINCT h[1] AS term, 'word' AS label FROM heads
-        UNION SELECT DISTINCT h[1] || ' ' || h[2], 'phrase' FROM heads
+        SELECT DISTINCT term, 'word' AS label FROM (SELECT unnest(h) AS term FROM listed) WHERE length(term) >= 6
+        UNION SELECT DISTINCT unnest(list_transform(range(1, len(h)), lambda i: h[i] || ' ' || h[i + 1])), 'phrase'
+        FROM listed
     ), found AS (
         SELECT doc_id, w AS term, s, e FROM words UNION ALL
         SELECT doc_id, w || ' ' || w2, s, e2 FROM words WHERE w2 IS NOT NULL
@@ -199,13 +200,13 @@ def niche_check(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id AS sample_id, term, label, s AS start, e AS end FROM found JOIN terms USING (term)
 """)
 def tag_entities(spark: SparkSession, sf: str) -> DataFrame:
-    """First words and first two words of the benchmark texts as term list."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(fn.WORD_CLASS + "+"), F.lit(0))
-    heads = table(spark, sf, "benchmark").select(
-        F.get(words, F.lit(0)).alias("a"), F.get(words, F.lit(1)).alias("b")
-    )
-    terms = heads.select(F.col("a").alias("term"), F.lit("word").alias("label")).union(
-        heads.select(F.concat("a", F.lit(" "), "b"), F.lit("phrase"))
+    """Words of six letters or more and all pairs of words of the benchmark texts as term list."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(fn.WORD_CLASS + "+"), F.lit(0))
+    words = table(spark, sf, "benchmark").select(found.alias("words"))
+    single = unnest(words, F.col("words"), [], "term").filter(F.length("term") >= 6)
+    pairs = unnest(words, fn.ngrams("words", 2, 2), [], "term")
+    terms = single.distinct().withColumn("label", F.lit("word")).unionByName(
+        pairs.distinct().withColumn("label", F.lit("phrase"))
     )
     return en.tag_entities(texts(spark, sf), "doc_id", "text", terms, max_words=2)
 
