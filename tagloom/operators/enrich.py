@@ -128,14 +128,16 @@ def tag_entities(
         word_entries(F.zip_with("__starts", "__lengths", lambda s, n: s + n)).alias("__to"),
     )
     starts_a_term = _first_word_test(listed)
+    places = F.transform("__words", lambda w, i: F.when(starts_a_term(w), i))
+    words = words.withColumn("__at", F.filter(places, lambda i: i.isNotNull()))
 
     def runs(n: int) -> Column:
         run = F.transform(
-            "__words",
-            lambda w, i: F.when(
-                starts_a_term(w) & (i + n <= F.size("__words")),
+            "__at",
+            lambda i: F.when(
+                i + n <= F.size("__words"),
                 F.struct(
-                    fn.run_of_words(F.col("__words"), w, i, n).alias("term"),
+                    fn.run_of_words(F.col("__words"), F.get("__words", i), i, n).alias("term"),
                     F.get("__from", i).alias("start"),
                     F.get("__to", i + n - 1).alias("end"),
                 ),

@@ -81,7 +81,7 @@ def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def classifier_grid(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").withColumn("half", F.slice("embedding", 1, 32))
-    models = cf.classifiers(trees=20, svm_iterations=20)
+    models = cf.classifiers(trees=10, svm_iterations=10)
     grid = cf.classifier_grid(vectors, ["embedding", "half"], "label", "vec_id", models)
     return cf.compare_classifiers(grid, list(models))
 
