@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import languages, lines, mixing, packing, toxicity
+from tagloom.llm import embeddings, fingerprints, jaccard, languages, lines, mixing, packing, toxicity
 
 from tagloom.llm.shared import ship
 
@@ -91,3 +91,21 @@ def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All texts as token sequences of at most 1024."""
     return packing.pack(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles are alike by 0.9 or more."""
+    return jaccard.jaccard_groups(table(spark, sf, "documents"), length=3, percent=90)
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of vectors whose cosine is 0.9 or more."""
+    return embeddings.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """MinHash fingerprints of every text and of its edited form."""
+    return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
