@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import embeddings, fingerprints, jaccard, languages, lines, mixing, packing, toxicity
+from tagloom.llm import embeddings, fingerprints, jaccard, languages, licenses, lines, mixing, packing, substrings, toxicity
 
 from tagloom.llm.shared import ship
 
@@ -109,3 +109,16 @@ def op8_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """MinHash fingerprints of every text and of its edited form."""
     return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence notices in all texts, by family."""
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Words left of every text without 13-word windows of earlier documents."""
+    cleaned = substrings.remove_repeats(table(spark, sf, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
