@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.llm.shared import stored
 
@@ -19,7 +20,7 @@ MIN_SITES = 10
 REGISTERS, NEAR = 12, 0.2
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, places: pd.Series) -> pd.Series:
     def left(text: str | None, gone: set[int]) -> str | None:
         return None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
