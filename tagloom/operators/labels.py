@@ -133,14 +133,16 @@ def uniform_sample(
     return first_rows(df, stable_hash(seed, sample_id), n, sample_id)
 
 
-def head(df: DataFrame, n: int, order: str) -> DataFrame:
-    """The first ``n`` rows by a column."""
-    return first_rows(df, as_column(order), n)
+def head(df: DataFrame, n: int, order: str, *ties: str) -> DataFrame:
+    """The first ``n`` rows by a column, nulls first; ties by the given columns, then by a hash of the row."""
+    return first_rows(df, as_column(order), n, *ties)
 
 
-def split_first_n(df: DataFrame, n: int, order: str, name: str = "is_training") -> DataFrame:
-    """Marks the first ``n`` rows by a column; the rest is for testing."""
-    return first_rows_flag(df, as_column(order), n, name, order)
+def split_first_n(
+    df: DataFrame, n: int, order: str, name: str = "is_training", ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Marks exactly the first ``n`` rows by a column, ordered as in :func:`head`; the rest is for testing."""
+    return first_rows_flag(df, as_column(order), n, name, *ties)
 
 
 def batch_ids(

@@ -8,37 +8,111 @@ from pyspark.sql import functions as F
 from tagloom.functions.hashing import HASH_BITS, stable_hash
 from tagloom.functions.values import as_column
 
-HEAP_ROWS = 100_000
+#: Rows that are sorted to name the last one; more are narrowed down first.
+SORTED_ROWS = 10_000
+#: Border rows that are drawn for each pass.
+BORDERS = 64
 BUCKET_BITS = 16
 
 _KEY = "__key"
 _BUCKET = "__bucket"
+_ORDER = "__order"
 
 
 def first_rows(df: DataFrame, key: Column, n: int, *ties: str) -> DataFrame:
-    """The ``n`` rows with the smallest key, ties by the given columns; exactly ``n`` of them.
+    """The ``n`` rows with the smallest key, ties by the given columns, then by a hash of the row.
 
-    Up to ``HEAP_ROWS`` rows, every task keeps its own best ``n`` and one task merges them. More
-    are taken with a cut-off: all rows below it, and a short sort of the rows around it.
+    Exactly ``n`` rows, or all if there are no more. Nulls come first, in the key and in the ties, as
+    in an ascending sort. Keys may have any type with an order. The last row is found by counting, so
+    rows are filtered where they are and none of them is shuffled for being among the first.
     """
-    keyed = df.withColumn(_KEY, key)
-    order = [F.col(_KEY), *[as_column(t) for t in ties]]
-    if n <= HEAP_ROWS:
-        return keyed.orderBy(*order).limit(n).drop(_KEY)
-    cut = _cut_off(keyed, n, [_KEY, *ties])
-    return (keyed if cut is None else keyed.filter(_up_to(cut))).drop(_KEY)
+    placed = df.withColumn(_ORDER, _order(df, key, ties))
+    cut = _last(placed, n)
+    if cut is None:
+        return df
+    last, needed = cut
+    if last is None:
+        return df.limit(0)
+    before = placed.filter(F.col(_ORDER) < last).drop(_ORDER)
+    # Rows that agree in the key, the ties and the hash: any of them will do.
+    return before.union(placed.filter(F.col(_ORDER) == last).drop(_ORDER).limit(needed))
 
 
 def first_rows_flag(df: DataFrame, key: Column, n: int, flag: str, *ties: str) -> DataFrame:
-    """All rows, with a boolean column that is true for the ``n`` smallest by key and ties.
+    """All rows, with a boolean column, never null, that is true for the ``n`` of :func:`first_rows`.
 
     The place where the first ``n`` end is found in a first pass, so the split itself needs no
-    shuffle.
+    shuffle, unless equal rows stand on both sides of it: those are numbered.
     """
-    keyed = df.withColumn(_KEY, key)
-    cut = _cut_off(keyed, n, [_KEY, *ties])
-    inside = F.lit(True) if cut is None else _up_to(cut)
-    return keyed.withColumn(flag, inside).drop(_KEY)
+    placed = df.withColumn(_ORDER, _order(df, key, ties))
+    cut = _last(placed, n)
+    if cut is None:
+        return df.withColumn(flag, F.lit(True))
+    last, needed = cut
+    if last is None:
+        return df.withColumn(flag, F.lit(False))
+    names = [*df.columns, flag] if flag not in df.columns else df.columns
+    same = placed.filter(F.col(_ORDER) == last)
+    if same.limit(needed + 1).count() <= needed:
+        return placed.withColumn(flag, F.col(_ORDER) <= last).select(*[as_column(c) for c in names])
+    number = F.row_number().over(Window.partitionBy(_ORDER).orderBy(_ORDER))
+    return (
+        placed.filter(F.col(_ORDER) != last)
+        .withColumn(flag, F.col(_ORDER) < last)
+        .union(same.withColumn(flag, number <= needed).select(*[as_column(c) for c in [*df.columns, _ORDER]], as_column(flag)) if flag not in df.columns else same.withColumn(flag, number <= needed))
+        .select(*[as_column(c) for c in names])
+    )
+
+
+def _order(df: DataFrame, key: Column, ties: tuple[str, ...]) -> Column:
+    """Key, ties and a hash of the row as one value; values compare with nulls first."""
+    kinds = dict(df.dtypes)
+    whole = [F.map_entries(as_column(c)) if kinds[c].startswith("map<") else as_column(c) for c in df.columns]
+    return F.struct(key.alias("k"), *[as_column(t).alias(f"t{i}") for i, t in enumerate(ties)], F.xxhash64(*whole).alias("h"))
+
+
+def _last(placed: DataFrame, n: int) -> tuple[Column | None, int] | None:
+    """The n-th smallest order as a literal, and how many rows of just that order belong to the first ``n``.
+
+    None if there are at most ``n`` rows, and (None, 0) for an ``n`` of 0. Each pass draws some rows as
+    borders, counts the rows between them and goes on between the two where the n-th lies; the driver sees the
+    borders and their counts only, whatever ``n`` is.
+    """
+    inside = placed.select(_ORDER)
+    kind = placed.schema[_ORDER].dataType
+    size = inside.count()
+    if size <= n:
+        return None
+    if n <= 0:
+        return None, 0
+    left, seed = n, 0
+    while size > SORTED_ROWS:
+        ends = inside.agg(F.min(_ORDER).alias("low"), F.max(_ORDER).alias("high")).first()
+        if ends["low"] == ends["high"]:
+            return _literal(ends["low"], kind), left
+        drawn = inside.sample(min(1.0, 2 * BORDERS / size), seed=seed).distinct().orderBy(_ORDER).limit(4 * BORDERS).collect()
+        seed += 1
+        # The smallest row is always a border, so each pass leaves some rows behind.
+        borders = [ends["low"], *[r[0] for r in drawn[:: max(1, len(drawn) // BORDERS)] if r[0] != ends["low"]]]
+        values = F.array(*[_literal(v, kind) for v in borders])
+        bucket = F.size(F.filter(values, lambda b: b < F.col(_ORDER)))
+        counts = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for row in sorted(counts, key=lambda r: r["b"]):
+            if row["n"] >= left:
+                at, size = row["b"], row["n"]
+                break
+            left -= row["n"]
+        if at > 0:
+            inside = inside.filter(F.col(_ORDER) > _literal(borders[at - 1], kind))
+        if at < len(borders):
+            inside = inside.filter(F.col(_ORDER) <= _literal(borders[at], kind))
+    top = inside.orderBy(_ORDER).limit(left)
+    last = _literal(top.agg(F.max(_ORDER)).first()[0], kind)
+    return last, left - inside.filter(F.col(_ORDER) < last).count()
+
+
+def _literal(row, kind) -> Column:
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields, strict=True)])
 
 
 def numbered(ids: DataFrame, id_column: str, number: str, seed: int = 0) -> DataFrame:
@@ -64,49 +138,3 @@ def numbered(ids: DataFrame, id_column: str, number: str, seed: int = 0) -> Data
         .withColumn(number, F.col("__offset") + F.row_number().over(inside) - 1)
         .select(id_column, number)
     )
-
-
-def _cut_off(keyed: DataFrame, n: int, order: list[str]):
-    """Values of the n-th smallest row, or None when there are no more than ``n`` rows."""
-    columns = [as_column(c) for c in order]
-    if n <= HEAP_ROWS:
-        top = keyed.select(*columns).orderBy(*columns).limit(n)
-        row = top.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*columns)).alias("m")).first()
-        return None if row["n"] < n else row["m"].asDict()
-    # split the key range until the n-th row lies among few rows
-    low = high = None
-    left = n
-    inside = keyed
-    while True:
-        spread = inside.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(_KEY).cast("double").alias("low"),
-            F.max(_KEY).cast("double").alias("high"),
-        ).first()
-        if low is None and spread["n"] <= n:
-            return None
-        low, high = spread["low"], spread["high"]
-        if spread["n"] <= HEAP_ROWS or low == high:
-            break
-        step = (high - low) / 2**BUCKET_BITS
-        bucket = F.least(
-            F.floor((F.col(_KEY) - F.lit(low)) / F.lit(step)), F.lit(2**BUCKET_BITS - 1)
-        ).cast("int")
-        counted = inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        for row in counted.orderBy("b").toLocalIterator():  # at most 65,536 small rows
-            if row["n"] >= left:
-                inside = inside.filter(bucket == row["b"])
-                break
-            left -= row["n"]
-    top = inside.select(*columns).orderBy(*columns).limit(left)
-    return top.agg(F.max(F.struct(*columns)).alias("m")).first()["m"].asDict()
-
-
-def _up_to(cut: dict) -> Column:
-    """Rows at or before the cut-off, compared column by column."""
-    names = list(cut)
-    condition = F.lit(True)
-    for name in reversed(names):
-        column, value = as_column(name), F.lit(cut[name])
-        condition = (column < value) | ((column == value) & condition)
-    return condition

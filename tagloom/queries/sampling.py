@@ -77,6 +77,29 @@ def head(spark: SparkSession, sf: str) -> DataFrame:
     return lb.head(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), 1000, "o_orderkey")
 
 
+_TEXT_KEY = "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'SAMN' || lpad((o_orderkey % 97)::VARCHAR, 8, '0') END"
+
+
+def _text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with a text key that is null for one in ten and often repeated."""
+    number = F.lpad((F.col("o_orderkey") % 97).cast("string"), 8, "0")
+    key = F.when(F.col("o_orderkey") % 10 != 0, F.concat(F.lit("SAMN"), number))
+    return table(spark, sf, "orders").select("o_orderkey", key.alias("sample_id"))
+
+
+@query(f"SELECT o_orderkey, {_TEXT_KEY} AS sample_id FROM orders ORDER BY sample_id NULLS FIRST, o_orderkey LIMIT 700")
+def head_text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return lb.head(_text_keys(spark, sf), 700, "sample_id", "o_orderkey")
+
+
+@query(f"""
+    SELECT o_orderkey, {_TEXT_KEY} AS sample_id,
+        row_number() OVER (ORDER BY {_TEXT_KEY} NULLS FIRST, o_orderkey) <= 555 AS is_training FROM orders
+""")
+def split_first_n_text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return lb.split_first_n(_text_keys(spark, sf), 555, "sample_id", ties=("o_orderkey",))
+
+
 @query("SELECT lang AS cluster, source AS label, count(*) AS n FROM documents GROUP BY ALL ORDER BY 1, n DESC, 2")
 def sorted_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("lang").alias("cluster"), F.col("source").alias("label"))

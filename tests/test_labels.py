@@ -1,4 +1,5 @@
 import contextlib
+import datetime as dt
 import io
 import random
 
@@ -79,22 +80,34 @@ def test_fits_counts_rows_and_bytes(spark):
     assert not joins.fits(df, 100, 10_000)
 
 
-@pytest.mark.parametrize("n", [1, 150, 999, 1000, 5000])
-def test_first_rows_by_cut_off_equals_a_sort(spark, monkeypatch, n):
+KEYS = {
+    "double": lambda rng: rng.choice([rng.random(), 0.5, 0.25, None]),
+    "string": lambda rng: rng.choice([f"SAMN{rng.randrange(9999):04d}", "", None, "SAMN0001"]),
+    "date": lambda rng: rng.choice([dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(400)), None]),
+    "int": lambda rng: 7,
+}
+
+
+@pytest.mark.parametrize("kind", list(KEYS))
+def test_first_rows_equal_a_sort(spark, monkeypatch, kind):
     rng = random.Random(3)
-    rows = [(i, rng.choice([rng.random(), 0.5, 0.25])) for i in range(1000)]
-    df = spark.createDataFrame(rows, "id int, k double")
-    want = sorted((k, i) for i, k in rows)[:n]
-    short = order.first_rows(df, F.col("k"), n, "id")
-    assert sorted((r.k, r.id) for r in short.collect()) == want
-    monkeypatch.setattr(order, "HEAP_ROWS", 100)
-    monkeypatch.setattr(order, "BUCKET_BITS", 4)
-    if 100 < n:
-        split = order.first_rows(df, F.col("k"), n, "id")
-        assert sorted((r.k, r.id) for r in split.collect()) == want
-    flagged = order.first_rows_flag(df, F.col("k"), n, "in", "id")
-    assert sorted((r.k, r.id) for r in flagged.filter("in").collect()) == want
-    assert flagged.count() == 1000
+    rows = [(i % 700, KEYS[kind](rng)) for i in range(1000)]
+    rows += rows[:100]  # some rows three times over
+    df = spark.createDataFrame(rows, f"id int, k {kind}").repartition(7)
+    in_order = sorted(rows, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0]))
+    monkeypatch.setattr(order, "BORDERS", 5)
+    for size in (20, 10_000):
+        monkeypatch.setattr(order, "SORTED_ROWS", size)
+        for n in (0, 1, 150, 1099, 1100, 5000):
+            want = sorted(in_order[:n], key=str)
+            assert sorted(map(tuple, order.first_rows(df, F.col("k"), n, "id").collect()), key=str) == want
+            flagged = order.first_rows_flag(df, F.col("k"), n, "in", "id").collect()
+            assert sorted([(r["id"], r["k"]) for r in flagged if r["in"]], key=str) == want
+            assert sorted([(r["id"], r["k"]) for r in flagged], key=str) == sorted(rows, key=str)
+            assert all(r["in"] is not None for r in flagged)
+    for n in (55, 300):  # without a tie column still exactly n
+        assert labels.head(df, n, "k").count() == n
+        assert labels.split_first_n(df, n, "k").filter("is_training").count() == n
 
 
 def test_numbers_are_consecutive(spark, monkeypatch):
