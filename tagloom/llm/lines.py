@@ -94,7 +94,8 @@ def remove_lines(
     no rows gives none. Needs doc_id, text and the site column.
     """
     places = boilerplate(docs, min_sites, site, keep_first).select(F.col("doc_id").alias("_id"), F.col("places").alias("_places"))
-    joined = docs.join(places, docs["doc_id"] == F.col("_id"), "left")
+    # The places grow with the documents, so both sides are dealt by id whatever their size.
+    joined = docs.hint("merge").join(places, docs["doc_id"] == F.col("_id"), "left")
     cut = F.split("text", "\n")
     # Only texts that lose a line go to Python.
     left = _without(F.when(F.col("_places").isNotNull(), F.col("text")), F.col("_places"))

@@ -103,7 +103,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     known = docs.filter("doc_id is not null")
     times = mix(known, **options).groupBy("doc_id").agg(F.collect_list("copy").alias("_copies"))
     order = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))
-    dealt = known.withColumn("_copy", F.row_number().over(order)).join(times, "doc_id")
+    dealt = known.withColumn("_copy", F.row_number().over(order)).hint("merge").join(times, "doc_id")
     again = dealt.withColumn("_again", F.explode(F.filter("_copies", lambda c: c == F.col("_copy"))))
     return again.select(*own).union(docs.filter("doc_id is null"))
 

@@ -250,7 +250,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     lists = each.join(crowded, "key", "left").groupBy("doc_id").agg(
         F.collect_list("key").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")
     )
-    flagged = known.select("doc_id", "tag", "text").join(lists, "doc_id")
+    # The lists grow with the documents, so both sides are dealt by id whatever their size.
+    flagged = known.select("doc_id", "tag", "text").hint("merge").join(lists, "doc_id")
     segments = stored(segments_of(flagged, window, anchor), "segments")
     bodies = segments.groupBy("route", "body_key", "body").agg(F.min("doc_id").alias("first"))
     dealt = bodies.repartition("route").sortWithinPartitions("route")
@@ -277,7 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     compared by 32 bits of a hash, windows by 13 of them.
     """
     tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    joined = tagged.join(repeated_windows(tagged, window, anchor), ["doc_id", "tag"], "left").select("doc_id", "text", "windows")
+    joined = tagged.hint("merge").join(repeated_windows(tagged, window, anchor), ["doc_id", "tag"], "left").select("doc_id", "text", "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
