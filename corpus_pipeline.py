@@ -44,7 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     in each group of linked ones (operator 5). Documents without words all stay."""
     linked = jaccard.jaccard_groups(docs, length=5, percent=80)
     gone = linked.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Both grow with the corpus.
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
