@@ -109,8 +109,12 @@ def collection_day(c: ColumnOrName) -> Column:
     iso = F.try_to_date(
         F.regexp_extract(c, r"(?:^|[^0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[^0-9]|$)", 1), "yyyy-MM-dd"
     )
-    named = F.regexp_extract(c, r"(?:^|[^0-9])([0-9]{1,2})[- ][A-Za-z]{3,9}[- ,]", 1)
-    return F.coalesce(F.dayofmonth(iso), _number(named))
+    named = _number(F.regexp_extract(c, r"(?:^|[^0-9])([0-9]{1,2})[- ][A-Za-z]{3,9}[- ,]", 1))
+    # A day that its month doesn't have gives no date.
+    year = F.lpad(collection_year(c).cast("string"), 4, "0")
+    parts = [year, *[F.lpad(x.cast("string"), 2, "0") for x in (collection_month(c), named)]]
+    real = F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd")
+    return F.coalesce(F.dayofmonth(iso), F.when(F.dayofmonth(real) == named, named))
 
 
 def numeric_id(c: ColumnOrName) -> Column:

@@ -21,9 +21,8 @@ from tagloom.functions.values import (
     null_if_marker,
 )
 
-_RECORD_SCHEMA = (
-    "`@accession` string, Attributes struct<Attribute: string>, _corrupt_record string"
-)
+_RECORD_SCHEMA = "`@accession` string, Attributes string"
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
 _ATTRIBUTE_SCHEMA = (
     "array<struct<`@attribute_name`: string, `@harmonized_name`: string, `#text`: string>>"
 )
@@ -39,17 +38,25 @@ def parse_records(df: DataFrame, raw: str = "raw", file_id: str | None = None) -
     """Parse each record once: sample_id, attributes, problem.
 
     The id is the one in the record, or ``file_id`` when that column is given. ``problem`` is
-    ``malformed`` or ``no_id`` and null for a good record. ``attributes`` is null when the record
-    has none.
+    ``malformed`` (not one JSON object and nothing else) or ``no_id`` and null for a good record.
+    ``attributes`` is null when the record has none.
     """
-    parsed = F.from_json(
-        as_column(raw), _RECORD_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}
-    )
-    record = once(df, "__record", parsed)
+    text = as_column(raw)
+    record = once(df, "__record", F.from_json(text, _RECORD_SCHEMA, _STRICT))
     body_id = F.col("__record.`@accession`")
-    malformed = F.col("__record").isNull() | F.col("__record._corrupt_record").isNotNull()
+    # The parser stops at the end of the first value: whatever follows would spoil one of these.
+    in_list = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    in_object = F.from_json(F.concat(F.lit('{"r":'), text, F.lit("}")), "r string", _STRICT)
+    whole = (
+        F.coalesce(F.size(in_list) == 1, F.lit(False))
+        & in_object["r"].isNotNull()
+        & F.ltrim(F.translate(text, "\n\r\t", "   ")).startswith("{")
+    )
     sample_id = as_column(file_id) if file_id else body_id
-    listed = F.from_json(as_json_array(F.col("__record.Attributes.Attribute")), _ATTRIBUTE_SCHEMA)
+    # No attributes may be written as an empty text, list or object too.
+    inner = F.get_json_object("__record.Attributes", "$.Attribute")
+    listed = F.from_json(as_json_array(inner), _ATTRIBUTE_SCHEMA, _STRICT)
+    malformed = ~whole
     attributes = F.transform(
         listed,
         lambda a: F.struct(
@@ -190,13 +197,16 @@ def to_map(df: DataFrame, columns: Sequence[str], name: str = "attrs") -> DataFr
     return df.withColumn(name, F.create_map(*entries))
 
 
-def to_long(df: DataFrame, sample_id: str, columns: Sequence[str]) -> DataFrame:
-    """Put wide columns below each other; null cells are left out."""
+def to_long(
+    df: DataFrame, sample_id: str, columns: Sequence[str], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Put wide columns below each other; null cells are left out. Columns in ``keep`` stay."""
     cells = F.array(
         *[F.struct(F.lit(c).alias("field"), as_column(c).cast("string").alias("value")) for c in columns]
     )
-    long = unnest(df, cells, [as_column(sample_id).alias("sample_id")], "cell", "pos")
-    return long.select("sample_id", "pos", "cell.field", "cell.value").filter(
+    kept = [as_column(c) for c in keep]
+    long = unnest(df, cells, [as_column(sample_id).alias("sample_id"), *kept], "cell", "pos")
+    return long.select("sample_id", *kept, "pos", "cell.field", "cell.value").filter(
         F.col("value").isNotNull()
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,24 +90,33 @@ def split_terms(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+#: Bits of the sieve of first words.
+SIEVE_BITS = 1 << 18
+
+
 def tag_entities(
     df: DataFrame,
     sample_id: str,
     text: str,
     gazetteer: DataFrame,
-    max_words: int = 3,
     term: str = "term",
     label: str = "label",
 ) -> DataFrame:
     """Mentions of listed terms in text: sample_id, term, label, start, end (in characters).
 
-    Terms are up to ``max_words`` words, compared in lower case, words one blank apart. Texts are
-    cut into words with their offsets inside the row; only (id, run of words, offsets) leaves it.
+    Terms are cut into words like the texts and compared in lower case, whatever stands between the
+    words; they may have any number of words. A term without any is never found. Texts are
+    cut into words with their offsets inside the row; only runs that begin like a listed term, with
+    their offsets, leave it.
     """
     listed = (
         gazetteer.select(F.lower(as_column(term)).alias("term"), as_column(label).alias("label"))
         .distinct()
+        .withColumn("__cut", F.filter(fn.pieces("term"), lambda p: p.rlike(fn.WORD_CLASS)))
+        .filter(F.size("__cut") > 0)
+        .select("term", "label", F.array_join("__cut", " ").alias("run"), F.size("__cut").alias("n"), F.get("__cut", F.lit(0)).alias("first"))
     )
+    lengths = sorted(r["n"] for r in listed.select("n").distinct().collect())
     cut = (
         df.select(as_column(sample_id).alias("sample_id"), as_column(text).alias("__text"))
         .select("sample_id", fn.pieces("__text").alias("__pieces"))
@@ -125,35 +135,53 @@ def tag_entities(
         "sample_id",
         word_entries(F.transform("__pieces", lambda p: F.lower(p))).alias("__words"),
         word_entries(F.col("__starts")).alias("__from"),
-        word_entries(F.zip_with("__starts", "__lengths", lambda s, n: s + n)).alias("__to"),
+        word_entries(F.col("__lengths")).alias("__long"),
     )
-    starts_a_term = _first_word_test(listed)
+    starts_a_term = _sieve(listed.select("first"))
     places = F.transform("__words", lambda w, i: F.when(starts_a_term(w), i))
     words = words.withColumn("__at", F.filter(places, lambda i: i.isNotNull()))
 
     def runs(n: int) -> Column:
+        last = lambda i: i + F.lit(n - 1)
         run = F.transform(
             "__at",
             lambda i: F.when(
                 i + n <= F.size("__words"),
                 F.struct(
-                    fn.run_of_words(F.col("__words"), F.get("__words", i), i, n).alias("term"),
+                    fn.run_of_words(F.col("__words"), F.get("__words", i), i, n).alias("run"),
                     F.get("__from", i).alias("start"),
-                    F.get("__to", i + n - 1).alias("end"),
+                    (F.get("__from", last(i)) + F.get("__long", last(i))).alias("end"),
                 ),
             ),
         )
         return F.filter(run, lambda r: r.isNotNull())
 
-    every_run = F.concat(*[runs(n) for n in range(1, max_words + 1)])
+    if not lengths:
+        lengths = [1]
+    every_run = F.concat(*[runs(n) for n in lengths])
     found = unnest(words, every_run, ["sample_id"], "run").select("sample_id", "run.*")
-    return lookup_join(found, listed, ["term"], measured=gazetteer).select("sample_id", "term", "label", "start", "end")
+    terms = listed.select("run", "term", "label")
+    return lookup_join(found, terms, ["run"], measured=gazetteer).select("sample_id", "term", "label", "start", "end")
+
+
+def _sieve(firsts: DataFrame):
+    """Whether a word may begin a listed term: a bit for each hash of a first word.
+
+    The bits have one size for every list. The longer the list, the more other words pass; the join
+    that follows decides.
+    """
+
+    def bit(word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(SIEVE_BITS))
+
+    at = firsts.select(bit(F.col("first")).alias("b")).distinct()
+    rows = at.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS INT))")).alias("bits"))
+    table = np.zeros(SIEVE_BITS // 64, np.int64)
+    for row in rows.collect():  # a bounded number of words of 64 bits
+        table[row["i"]] = row["bits"]
+    bits = F.lit(table)
 
+    def passes(word: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(bit(word), 6).cast("int")), (bit(word) % 64).cast("int")) % 2 != 0
 
-def _first_word_test(terms: DataFrame, most: int = 5_000):
-    """Whether a word can begin a listed term; always true for a list with very many beginnings."""
-    firsts = terms.select(F.get(F.split("term", " "), F.lit(0)).alias("w")).distinct()
-    known = [r["w"] for r in firsts.limit(most + 1).collect()]
-    if len(known) > most:
-        return lambda w: F.lit(True)
-    return lambda w: w.isin(*known)
+    return passes

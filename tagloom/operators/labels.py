@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.constants import (
@@ -173,9 +172,8 @@ def train_test_split(
 
 
 def encode_labels(df: DataFrame, label: str, name: str = "label_no") -> DataFrame:
-    """Classes in sorted order as 0, 1, 2, ..."""
-    names = [str(c) for c in class_list(df, label)]
-    model = StringIndexerModel.from_labels(
-        names, inputCol=label, outputCol="__index", handleInvalid="error"
-    )
-    return model.transform(df).withColumn(name, F.col("__index").cast("int")).drop("__index")
+    """Classes in sorted order as 0, 1, 2, ...; a null label gives null."""
+    # Only the distinct classes are sorted and numbered.
+    number = F.row_number().over(Window.orderBy(as_column(label))) - 1
+    classes = class_values(df, label).withColumn(name, number.cast("int"))
+    return df.join(classes, label, "left").select(*[as_column(c) for c in df.columns], as_column(name))

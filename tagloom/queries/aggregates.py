@@ -103,9 +103,7 @@ def cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
        "UNION SELECT DISTINCT lang, n_chars::VARCHAR FROM documents")
 def tags_by_class(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    long = at.to_long(docs, "doc_id", ["source", "n_chars"]).withColumnRenamed("sample_id", "doc_id")
-    labelled = long.join(docs.select("doc_id", "lang"), "doc_id")
-    return ev.tags_by_class(labelled, "lang")
+    return ev.tags_by_class(at.to_long(docs, "doc_id", ["source", "n_chars"], keep=["lang"]), "lang")
 
 
 SQL_VOTES = """

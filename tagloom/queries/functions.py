@@ -106,15 +106,21 @@ def place_parts(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     SELECT o_orderkey, year(o_orderdate)::INTEGER AS y,
            CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE month(o_orderdate)::INTEGER END AS m,
-           CASE WHEN o_orderkey % 4 < 2 THEN NULL ELSE day(o_orderdate)::INTEGER END AS d
+           CASE WHEN o_orderkey % 4 < 2 OR o_orderkey % 4 = 2 AND o_orderkey % 3 = 0 AND NOT (
+                    day(o_orderdate) + 20 <= day(last_day(o_orderdate))) THEN NULL
+                WHEN o_orderkey % 4 = 2 AND o_orderkey % 3 = 0 THEN (day(o_orderdate) + 20)::INTEGER
+                ELSE day(o_orderdate)::INTEGER END AS d
     FROM orders
 """)
 def collection_date_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates written as year, year-month, day-month-year or in full."""
+    """Dates written as year, year-month, day-month-year or in full; some days are 20 days too late, so
+    that not all of their months have them."""
     form = F.col("o_orderkey") % 4
+    late = F.concat((F.dayofmonth("o_orderdate") + 20).cast("string"), F.date_format("o_orderdate", "-MMM-yyyy"))
     written = (
         F.when(form == 0, F.date_format("o_orderdate", "yyyy"))
         .when(form == 1, F.date_format("o_orderdate", "yyyy-MM"))
+        .when((form == 2) & (F.col("o_orderkey") % 3 == 0), late)
         .when(form == 2, F.date_format("o_orderdate", "dd-MMM-yyyy"))
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
     )

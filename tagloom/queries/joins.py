@@ -208,7 +208,32 @@ def tag_entities(spark: SparkSession, sf: str) -> DataFrame:
     terms = single.distinct().withColumn("label", F.lit("word")).unionByName(
         pairs.distinct().withColumn("label", F.lit("phrase"))
     )
-    return en.tag_entities(texts(spark, sf), "doc_id", "text", terms, max_words=2)
+    return en.tag_entities(texts(spark, sf), "doc_id", "text", terms)
+
+
+@query(r"""
+    WITH words AS (
+        SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: w) AS h FROM documents
+    ), listed AS (
+        SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS h FROM benchmark
+    ), terms AS (
+        SELECT DISTINCT h[i] || '-' || h[i + 1] || '/' || h[i + 2] || ' ' || h[i + 3] AS term,
+               h[i] || ' ' || h[i + 1] || ' ' || h[i + 2] || ' ' || h[i + 3] AS run
+        FROM listed, range(1, 400) t(i) WHERE i + 3 <= len(h)
+    ), found AS (
+        SELECT doc_id, h[i] || ' ' || h[i + 1] || ' ' || h[i + 2] || ' ' || h[i + 3] AS run
+        FROM words, range(1, 20000) t(i) WHERE i + 3 <= len(h)
+    )
+    SELECT doc_id AS sample_id, term, count(*) AS n FROM found JOIN terms USING (run) GROUP BY ALL
+""")
+def tag_entities_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed terms of four words with a hyphen and a slash, however the texts write them."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(fn.WORD_CLASS + "+"), F.lit(0))
+    runs = unnest(table(spark, sf, "benchmark").select(found.alias("words")), fn.ngrams("words", 4, 4), [], "run")
+    term = F.regexp_replace("run", r"^(\S+) (\S+) (\S+) (\S+)$", "$1-$2/$3 $4")
+    terms = runs.select(term.alias("term"), F.lit("phrase").alias("label")).distinct()
+    mentions = en.tag_entities(texts(spark, sf), "doc_id", "text", terms)
+    return mentions.groupBy("sample_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL_COSINE = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.arrays import unnest
 from tagloom.operators import attributes as at
+from tagloom.operators import labels as lb
 from tagloom.queries.registry import accession, query, table
 from tagloom.session import scratch_path
 from tagloom.sources import readers, writers
@@ -75,23 +76,31 @@ def read_records(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     WITH raw AS (
         SELECT event_id, event_type,
-               CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END AS raw
+               CASE WHEN event_type = 'error' THEN left(props, length(props) - 1)
+                    WHEN event_id % 11 = 3 THEN props || ' more' ELSE props END AS raw
         FROM events
     )
-    SELECT event_id, CASE WHEN NOT json_valid(raw) THEN 'malformed' ELSE 'no_id' END AS problem
-    FROM raw WHERE NOT json_valid(raw) OR event_type = 'click'
+    SELECT event_id, CASE WHEN NOT json_valid(raw) OR event_id % 11 = 5 THEN 'malformed' ELSE 'no_id' END AS problem
+    FROM raw WHERE NOT json_valid(raw) OR event_id % 11 = 5 OR event_type = 'click'
 """)
 def quarantine_bad(spark: SparkSession, sf: str) -> DataFrame:
-    """Errors are cut short so that they do not parse, clicks have no id."""
+    """Errors are cut short so that they do not parse, clicks have no id.
+
+    Some records have text behind them or single quotes, which is no JSON; some have an empty text or
+    list for their attributes, which is good.
+    """
     events = table(spark, sf, "events")
+    kind = F.col("event_id") % 11
     props = F.when(
         F.col("event_type") == "error", F.expr("left(props, length(props) - 1)")
-    ).otherwise(F.col("props"))
+    ).when(kind == 3, F.concat("props", F.lit(" more"))).otherwise(F.col("props"))
+    empty = F.when(kind == 7, '"Attributes":"",').when(kind == 8, '"Attributes":[],').otherwise("")
     with_id = F.concat(
-        F.lit('{"@accession":"'), F.col("event_id").cast("string"), F.lit('",'),
+        F.lit('{"@accession":"'), F.col("event_id").cast("string"), F.lit('",'), empty,
         F.substr(props, F.lit(2)),
     )
     raw = F.when(F.col("event_type") == "click", props).otherwise(with_id)
+    raw = F.when(kind == 5, F.translate(raw, '"', "'")).otherwise(raw)
     parsed = at.parse_records(events.select("event_id", raw.alias("raw")))
     return at.bad_records(parsed).select("event_id", "problem")
 
@@ -249,3 +258,37 @@ def write_report(spark: SparkSession, sf: str) -> DataFrame:
     )
     writers.write_report(report, path)
     return spark.read.csv(path, sep="\t", header=True)
+
+
+@query("""
+    SELECT conv_id || '-' || turn AS sample_id, role AS choices FROM conversations
+""")
+def stored_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to the even turns are stored, then the pending ones added, and all read back."""
+    path = scratch_path(spark, "answers")
+    prompts = table(spark, sf, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sample_id"),
+        F.lit("rule").alias("model"),
+        F.col("role").alias("choices"),
+        F.length("text").alias("tokens"),
+        F.col("text").alias("prompt"),
+        F.col("turn"),
+    )
+    writers.write_predictions(prompts.filter("turn % 2 = 0"), path)
+    stored = readers.read_predictions(spark, path, id_from_file=False)
+    writers.write_predictions(lb.pending_prompts(prompts, stored), path)
+    writers.write_predictions(prompts, path)  # nothing is left to add
+    return readers.read_predictions(spark, path, id_from_file=False).select("sample_id", "choices")
+
+
+@query("SELECT s_name AS sample_id, s_nationkey::VARCHAR AS upper_name, s_suppkey::VARCHAR AS lower_name FROM supplier")
+def read_attributes_case(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with two columns whose names differ only in case."""
+    path = scratch_path(spark, "names")
+    rows = table(spark, sf, "supplier").select(F.concat_ws(",", "s_name", F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")).alias("value"))
+    head = spark.range(1).select(F.lit("sample_id,Species,species").alias("value"))
+    head.union(rows).coalesce(1).write.text(path)
+    found = readers.read_attributes(spark, path)
+    if found.columns != ["sample_id", "Species", "species"]:
+        raise ValueError(found.columns)
+    return found.toDF("sample_id", "upper_name", "lower_name")

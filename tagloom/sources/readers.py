@@ -72,18 +72,22 @@ def read_attributes(
 ) -> DataFrame:
     """Wide attribute table (comma-separated, quoted, header, may be gzip).
 
+    Column names stay as they are, also those that differ only in case: take such a column by place
+    (``df[df.columns.index(name)]``), by ``to_long`` or with ``spark.sql.caseSensitive`` set.
     ``multi_line=False`` lets plain files be split when no value holds a line break.
     ``na_values`` lists cell texts to read as null, e.g. ``constants.TABLE_NA_STRINGS``.
     """
-    table = spark.read.csv(
-        path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line
-    )
+    options = {"quote": '"', "escape": '"', "multiLine": multi_line}
+    # Names may differ only in case; a header read as one would be renamed.
+    names = spark.read.csv(path, header=False, inferSchema=False, **options).first() or ()
+    if not names:
+        return spark.read.csv(path, header=True, inferSchema=False, **options)
+    schema = T.StructType([T.StructField(name or f"_c{i}", T.StringType()) for i, name in enumerate(names)])
+    plain = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    table = spark.read.schema(plain).csv(path, header=True, enforceSchema=True, **options)
     na = list(na_values)
-    if not na:
-        return table
-    return table.select(
-        *[F.when(~as_column(c).isin(*na), as_column(c)).alias(c) for c in table.columns]
-    )
+    cells = [F.when(~F.col(c).isin(*na), F.col(c)) if na else F.col(c) for c in plain.names]
+    return table.select(*[cell.alias(f.name) for cell, f in zip(cells, schema, strict=True)])
 
 
 def read_records(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.values import as_column, shard
+from tagloom.sources.readers import PREDICTION_SCHEMA
 
 _NOT_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
@@ -36,10 +37,19 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 
 def write_records(
-    df: DataFrame, path: str, id_column: str = "sample_id", records_per_file: int | None = None
+    df: DataFrame,
+    path: str,
+    id_column: str = "sample_id",
+    records_per_file: int | None = None,
+    mode: str = "append",
 ) -> None:
-    """Records as JSON lines in folders named by the start of the id."""
-    writer = _sharded(df, id_column).write.mode("overwrite").partitionBy("shard")
+    """Records as JSON lines in folders named by the start of the id.
+
+    Added to what is stored: an id that the store has keeps its record, and of repeated ids one record is
+    taken. ``mode="overwrite"`` replaces the store.
+    """
+    new = _new_only(df, path, id_column, "json", mode)
+    writer = _sharded(new, id_column).write.mode(mode).partitionBy("shard")
     if records_per_file:
         writer = writer.option("maxRecordsPerFile", records_per_file)
     writer.json(path)
@@ -51,12 +61,16 @@ def write_raw_records(
     raw_column: str = "raw",
     id_column: str = "sample_id",
     records_per_file: int | None = None,
+    mode: str = "append",
 ) -> None:
-    """Record documents that are JSON text already, as ``*.txt`` in the same folders."""
+    """Record documents that are JSON text already, as ``*.txt`` in the same folders.
+
+    Such files don't name their ids, so give only records that the store lacks (``missing_records``).
+    """
     writer = _sharded(df, id_column).select("shard", as_column(raw_column).alias("value")).write
     if records_per_file:
         writer = writer.option("maxRecordsPerFile", records_per_file)
-    writer.mode("overwrite").partitionBy("shard").text(path)
+    writer.mode(mode).partitionBy("shard").text(path)
 
 
 def write_prompts(
@@ -65,15 +79,36 @@ def write_prompts(
     id_column: str = "sample_id",
     prompt_column: str = "prompt",
     sharded: bool = True,
+    mode: str = "append",
 ) -> None:
-    """Prompts with their ids as Parquet, sharded like the records or flat."""
-    wanted = [as_column(id_column).alias("sample_id"), as_column(prompt_column).alias("prompt")]
+    """Prompts with their ids as Parquet, sharded like the records or flat; added as records are."""
+    wanted = df.select(as_column(id_column).alias("sample_id"), as_column(prompt_column).alias("prompt"))
+    new = _new_only(wanted, path, "sample_id", "parquet", mode)
     if sharded:
-        _sharded(df.select(*wanted), "sample_id").write.mode("overwrite").partitionBy(
-            "shard"
-        ).parquet(path)
+        _sharded(new, "sample_id").write.mode(mode).partitionBy("shard").parquet(path)
     else:
-        df.select(*wanted).write.mode("overwrite").parquet(path)
+        new.write.mode(mode).parquet(path)
+
+
+def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Answers as JSON objects with their ids (columns of ``readers.PREDICTION_SCHEMA``); added as records are."""
+    new = _new_only(df.select(*PREDICTION_SCHEMA.names), path, "sample_id", "json", mode)
+    new.write.mode(mode).json(path)
+
+
+def _new_only(df: DataFrame, path: str, id_column: str, form: str, mode: str) -> DataFrame:
+    """Rows whose id is not stored at ``path`` yet, one for each id."""
+    one = df.dropDuplicates([id_column])
+    if mode != "append":
+        return one
+    kind = df.schema[id_column].dataType.simpleString()
+    try:
+        known = df.sparkSession.read.format(form).schema(f"`{id_column}` {kind}").load(path)
+    except AnalysisException as error:
+        if error.getCondition() not in _NOT_THERE:
+            raise
+        return one
+    return one.join(known.distinct(), id_column, "left_anti")
 
 
 def create_or_load(

@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__  # noqa: E402
+from tagloom.queries import QUERIES  # noqa: E402
 from tools.compare import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     assert compare(con, spark, name, SF) == ""
     spark.catalog.clearCache()
