@@ -179,7 +179,8 @@ def _sieve(firsts: DataFrame):
     table = np.zeros(SIEVE_BITS // 64, np.int64)
     for row in rows.collect():  # a bounded number of words of 64 bits
         table[row["i"]] = row["bits"]
-    bits = F.lit(table)
+    # One literal text, which the optimiser turns into a constant array.
+    bits = F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")
 
     def passes(word: Column) -> Column:
         return F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(bit(word), 6).cast("int")), (bit(word) % 64).cast("int")) % 2 != 0
