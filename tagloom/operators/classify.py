@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.constants import SPLIT_SEED, SPLIT_TEST_SIZE
+from tagloom.constants import ENGLISH_STOP_WORDS, SPLIT_SEED, SPLIT_TEST_SIZE
 from tagloom.functions import arrays as fn
 from tagloom.functions import text as words
 from tagloom.functions.values import as_column
@@ -116,7 +116,7 @@ def naive_bayes(
     test: DataFrame,
     text: str,
     label: str,
-    stop_words: Iterable[str] = (),
+    stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
     features: int = 2**18,
     name: str = "predicted",
 ) -> DataFrame:

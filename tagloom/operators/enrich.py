@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from tagloom.functions import text as fn
 from tagloom.functions.arrays import starts_from_lengths, unnest
 from tagloom.functions.values import ColumnOrName, as_column, ontology_terms
 from tagloom.operators.joins import lookup_join
+from tagloom.operators.sieve import sieve
 
 
 def category_scheme(spark: SparkSession) -> DataFrame:
@@ -90,10 +90,6 @@ def split_terms(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-#: Bits of the sieve of first words.
-SIEVE_BITS = 1 << 18
-
-
 def tag_entities(
     df: DataFrame,
     sample_id: str,
@@ -137,7 +133,7 @@ def tag_entities(
         word_entries(F.col("__starts")).alias("__from"),
         word_entries(F.col("__lengths")).alias("__long"),
     )
-    starts_a_term = _sieve(listed.select("first"))
+    starts_a_term = sieve(listed.select("first"))
     places = F.transform("__words", lambda w, i: F.when(starts_a_term(w), i))
     words = words.withColumn("__at", F.filter(places, lambda i: i.isNotNull()))
 
@@ -162,27 +158,3 @@ def tag_entities(
     found = unnest(words, every_run, ["sample_id"], "run").select("sample_id", "run.*")
     terms = listed.select("run", "term", "label")
     return lookup_join(found, terms, ["run"], measured=gazetteer).select("sample_id", "term", "label", "start", "end")
-
-
-def _sieve(firsts: DataFrame):
-    """Whether a word may begin a listed term: a bit for each hash of a first word.
-
-    The bits have one size for every list. The longer the list, the more other words pass; the join
-    that follows decides.
-    """
-
-    def bit(word: Column) -> Column:
-        return F.pmod(F.xxhash64(word), F.lit(SIEVE_BITS))
-
-    at = firsts.select(bit(F.col("first")).alias("b")).distinct()
-    rows = at.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS INT))")).alias("bits"))
-    table = np.zeros(SIEVE_BITS // 64, np.int64)
-    for row in rows.collect():  # a bounded number of words of 64 bits
-        table[row["i"]] = row["bits"]
-    # One literal text, which the optimiser turns into a constant array.
-    bits = F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")
-
-    def passes(word: Column) -> Column:
-        return F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(bit(word), 6).cast("int")), (bit(word) % 64).cast("int")) % 2 != 0
-
-    return passes

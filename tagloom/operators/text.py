@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.constants import TARGET_FIELDS
+from tagloom.constants import ENGLISH_STOP_WORDS, TARGET_FIELDS
 from tagloom.functions import text as fn
 from tagloom.functions.arrays import unnest
 from tagloom.functions.values import as_column, default_unknown
@@ -64,13 +64,25 @@ def fill_unknown(df: DataFrame, columns: Sequence[str] = TARGET_FIELDS) -> DataF
 
 
 def token_counts(
-    df: DataFrame, sample_id: str, text: str, stop_words: Iterable[str] = ()
+    df: DataFrame, sample_id: str, text: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS
 ) -> DataFrame:
-    """(sample_id, token, n) of every text, without stop words and punctuation."""
-    words = unnest(
-        df, fn.tokens(text, stop_words), [as_column(sample_id).alias("sample_id")], "token"
+    """(sample_id, token, n) of every text, without stop words and punctuation.
+
+    A text is one row, so its tokens are counted inside it: nothing is shuffled.
+    """
+    sized = df.select(
+        as_column(sample_id).alias("sample_id"), F.sort_array(fn.tokens(text, stop_words)).alias("__sorted")
+    )
+    begins = F.transform("__sorted", lambda w, i: F.when((i == 0) | (F.get("__sorted", i - 1) != w), i))
+    begun = sized.withColumn("__begins", F.filter(begins, lambda i: i.isNotNull()))
+    entries = F.transform(
+        "__begins",
+        lambda at, k: F.struct(
+            F.get("__sorted", at).alias("token"),
+            (F.coalesce(F.get("__begins", k + 1), F.size("__sorted")) - at).cast("bigint").alias("n"),
+        ),
     )
-    return words.groupBy("sample_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return unnest(begun, entries, ["sample_id"], "__entry").select("sample_id", "__entry.*")
 
 
 def lemmatise(tokens: DataFrame, lemmas: DataFrame, token: str = "token") -> DataFrame:

@@ -7,16 +7,17 @@ shared, and its size is the number of features.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.constants import (
+    ENGLISH_STOP_WORDS,
     TFIDF_MAX_DF,
     TFIDF_MAX_FEATURES,
     TFIDF_MIN_DF,
@@ -25,9 +26,7 @@ from tagloom.constants import (
 from tagloom.functions import text as fn
 from tagloom.functions.arrays import unnest
 from tagloom.functions.values import as_column
-
-MOST_FEATURES = 1_000_000
-MOST_LISTED = 5_000
+from tagloom.operators.sieve import sieve
 
 
 @dataclass(frozen=True)
@@ -44,7 +43,7 @@ class TfidfModel:
         if not self.terms:
             raise ValueError("the vocabulary is empty: no term passed the frequency limits")
         words = sorted({w for t in self.terms for w in t.split(" ")})
-        only = words if len(words) <= MOST_LISTED else None
+        only = sieve(df.sparkSession.createDataFrame([(w,) for w in words], "word string"))
         grams = _with_grams(df, text, self.ngram_range, self.stop_words, only)
         counter = CountVectorizerModel.from_vocabulary(
             self.terms, inputCol="__grams", outputCol="__tf"
@@ -81,14 +80,14 @@ def term_statistics(
     text: str,
     ngram_range: tuple[int, int] = TFIDF_NGRAMS,
     stop_words: Iterable[str] = (),
-    only: list[str] | None = None,
+    only: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(term, tf, df): occurrences in all texts and number of texts with the term.
 
     The n-grams of a text are sorted inside the row, so the first of equal ones can be told from
     the rest; both numbers then come from one aggregate that adds up before its shuffle. Grouping
-    by text and term first would shuffle every n-gram. ``only`` restricts the n-grams to those
-    made of these words alone.
+    by text and term first would shuffle every n-gram. ``only`` tells the words of which
+    n-grams may be made.
     """
     grams = _with_grams(df, text, ngram_range, tuple(stop_words), only).select(
         F.sort_array("__grams").alias("__sorted")
@@ -112,8 +111,8 @@ def vocabulary(
     max_df: float = TFIDF_MAX_DF,
 ) -> DataFrame:
     """The most frequent terms that occur in enough texts but not in too many."""
-    if not 0 < max_features <= MOST_FEATURES:
-        raise ValueError(f"max_features must be between 1 and {MOST_FEATURES}")
+    if max_features <= 0:
+        raise ValueError("max_features must be positive")
     usable = statistics.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_texts))
     idf = F.log(F.lit(1.0 + n_texts) / (F.col("df") + 1)) + 1
     return (
@@ -124,7 +123,7 @@ def vocabulary(
 def fit_tfidf(
     df: DataFrame,
     text: str,
-    stop_words: Iterable[str] = (),
+    stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
     max_features: int = TFIDF_MAX_FEATURES,
     ngram_range: tuple[int, int] = TFIDF_NGRAMS,
     min_df: int = TFIDF_MIN_DF,
@@ -156,16 +155,15 @@ def fit_tfidf(
 
 def _frequent_words(
     single: DataFrame, n_texts: int, max_features: int, min_df: int, max_df: float
-) -> list[str] | None:
-    """Words that can be part of a chosen n-gram; None when they are too many to list."""
+) -> Callable[[Column], Column]:
+    """Whether a word may be part of a chosen n-gram."""
     least = min_df
     if max_features:
         best = vocabulary(single, n_texts, max_features, min_df, max_df)
         last = best.agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
         if last["n"] == max_features:
             least = last["tf"]
-    found = single.filter(F.col("tf") >= least).select("term").limit(MOST_LISTED + 1).collect()
-    return [r["term"] for r in found] if len(found) <= MOST_LISTED else None
+    return sieve(single.filter(F.col("tf") >= least).select("term"))
 
 
 def _with_grams(
@@ -173,11 +171,11 @@ def _with_grams(
     text: str,
     ngram_range: tuple[int, int],
     stop_words: tuple[str, ...],
-    only: list[str] | None = None,
+    only: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Adds the n-grams; with ``only``, those made of these words alone."""
+    """Adds the n-grams; with ``only``, those made of words that pass it."""
     words = df.withColumn("__words", fn.tokens(text, stop_words))
     if only is not None:
-        listed = F.transform("__words", lambda w: F.when(w.isin(*only), w))
+        listed = F.transform("__words", lambda w: F.when(only(w), w))
         words = words.withColumn("__words", listed)
     return words.withColumn("__grams", fn.ngrams("__words", *ngram_range))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.constants import ENGLISH_STOP_WORDS
 from tagloom.functions import arrays as fn
 from tagloom.functions import text as words
 from tagloom.functions.values import ColumnOrName, as_column
@@ -63,7 +64,7 @@ def document_embedding(
     text: str,
     vectors: DataFrame,
     dimension: int,
-    stop_words: tuple[str, ...] = (),
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     normalize_tokens: bool = True,
     count_unknown: bool = False,
     name: str = "vector",

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.constants import NULL_MARKERS, SAMPLE_SEED
+from tagloom.constants import ENGLISH_STOP_WORDS, NULL_MARKERS, SAMPLE_SEED
 from tagloom.operators import attributes as at
 from tagloom.operators import cluster as cl
 from tagloom.operators import labels as lb
@@ -43,7 +43,7 @@ def labelled_sample(
 def tfidf_features(
     sample: DataFrame,
     fields: Sequence[str] = ("isolation_source",),
-    stop_words: Iterable[str] = (),
+    stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
     max_features: int = 300,
 ) -> DataFrame:
     """Adds the cleaned text and its TF-IDF vector as an array."""

@@ -105,7 +105,7 @@ def _entries(df: DataFrame) -> DataFrame:
 def document_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of unit token vectors over the known tokens."""
     return _entries(
-        vc.document_embedding(texts(spark, sf), "doc_id", "text", token_table(spark, sf), DIMENSIONS)
+        vc.document_embedding(texts(spark, sf), "doc_id", "text", token_table(spark, sf), DIMENSIONS, stop_words=())
     )
 
 
@@ -115,7 +115,7 @@ def document_embedding_all_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _entries(
         vc.document_embedding(
             texts(spark, sf), "doc_id", "text", token_table(spark, sf), DIMENSIONS,
-            normalize_tokens=False, count_unknown=True,
+            normalize_tokens=False, count_unknown=True, stop_words=(),
         )
     )
 

@@ -102,7 +102,7 @@ def compare_predictions(spark: SparkSession, sf: str) -> DataFrame:
     FROM ({SQL_COUNTED}) JOIN ({SQL_TOKEN_TABLE}) USING (token)
 """)
 def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    counted = tx.token_counts(texts(spark, sf), "doc_id", "text")
+    counted = tx.token_counts(texts(spark, sf), "doc_id", "text", ())
     found = vc.token_vectors(counted, token_table(spark, sf))
     return found.select("sample_id", "token", "n", F.round(F.get("vector", F.lit(0)), 9).alias("x"))
 

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.constants import ENGLISH_STOP_WORDS
 from tagloom.session import use_all_cores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Short stop-word list for the invented prose of the test tables.
-STOP_WORDS = ("and", "das", "de", "der", "die", "el", "et", "in", "la", "le", "of", "the", "und")
-SQL_STOP_WORDS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+# The English list, and some words of the other languages of the test tables.
+STOP_WORDS = (*ENGLISH_STOP_WORDS, "das", "de", "der", "die", "el", "et", "la", "le", "und")
+SQL_STOP_WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 SQL_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 SQL_STRIP = (
     r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"

@@ -45,8 +45,8 @@ def write_records(
 ) -> None:
     """Records as JSON lines in folders named by the start of the id.
 
-    Added to what is stored: an id that the store has keeps its record, and of repeated ids one record is
-    taken. ``mode="overwrite"`` replaces the store.
+    ``df`` has one row per id. Rows are added to what is stored, and an id that the store has keeps its
+    record. ``mode="overwrite"`` replaces the store.
     """
     new = _new_only(df, path, id_column, "json", mode)
     writer = _sharded(new, id_column).write.mode(mode).partitionBy("shard")
@@ -97,18 +97,17 @@ def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def _new_only(df: DataFrame, path: str, id_column: str, form: str, mode: str) -> DataFrame:
-    """Rows whose id is not stored at ``path`` yet, one for each id."""
-    one = df.dropDuplicates([id_column])
+    """Rows whose id is not stored at ``path`` yet."""
     if mode != "append":
-        return one
+        return df
     kind = df.schema[id_column].dataType.simpleString()
     try:
         known = df.sparkSession.read.format(form).schema(f"`{id_column}` {kind}").load(path)
     except AnalysisException as error:
         if error.getCondition() not in _NOT_THERE:
             raise
-        return one
-    return one.join(known.distinct(), id_column, "left_anti")
+        return df
+    return df.join(known.distinct(), id_column, "left_anti")
 
 
 def create_or_load(

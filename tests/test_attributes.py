@@ -89,3 +89,15 @@ def test_sparse_attrs(spark):
     df = spark.createDataFrame([("a", "pig", None, 1)], "id string, host string, age string, index int")
     attrs = at.sparse_attrs(at.to_map(df, ["host", "age", "index"])).first()["attrs"]
     assert attrs == {"host": "pig"}
+
+
+def test_only_one_whole_json_object_is_a_record(spark):
+    good = ['{"@accession":"S1","Attributes":""}', '{"@accession":"S2","Attributes":[]}', ' {"@accession":"S3"}\n',
+            '{"@accession":"S4","Attributes":{"Attribute":{"@attribute_name":"a","#text":"[1]} {"}}}']
+    bad = ['{"@accession":"S1"} garbage', "{'@accession':'S1'}", '{"@accession":"S1"', "", "[]", '{"@accession":"S1"}][{"b":1}',
+           '{"@accession":"S1"},"y":{"a":1}', '[{"@accession":"S1"}]', "5", '"text"']
+    df = spark.createDataFrame([(t,) for t in good + bad], "raw string")
+    parsed = at.parse_records(df).collect()
+    assert {r.raw for r in parsed if r.problem is None} == set(good)
+    assert {r.sample_id: len(r.attributes or []) for r in parsed if r.problem is None} == {"S1": 0, "S2": 0, "S3": 0, "S4": 1}
+    assert {r.raw for r in parsed if r.problem == "malformed"} == set(bad)

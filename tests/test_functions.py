@@ -141,3 +141,9 @@ def test_tokens_and_pieces(spark, written):
     for r in rows:
         assert r["w"] == re.findall(r"\w{2,}", written[r["i"]].lower())
         assert "".join(r["p"]) == written[r["i"]]
+
+
+def test_days_that_no_month_has(spark):
+    texts = ["99-May-2020", "31-Feb-2020", "29-Feb-2020", "29-Feb-2019", "0-May-2020", "7-May-2020", "2020-02-30"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(values.collection_day("t")).collect()] == [None, None, 29, None, None, 7, None]

@@ -102,6 +102,28 @@ def test_prompts_and_lines(spark):
     assert {r.value for r in spark.read.text(lines).collect()} == {"SAMN00010001", "SAMN00020001"}
 
 
+def test_stores_grow_and_keep_their_ids(spark):
+    for write, read in (
+        (writers.write_records, lambda p: spark.read.json(p).select("sample_id", "prompt")),
+        (writers.write_prompts, lambda p: spark.read.parquet(p).select("sample_id", "prompt")),
+    ):
+        path = scratch_path(spark, "store")
+        frame = lambda *rows: spark.createDataFrame(list(rows), "sample_id string, prompt string")
+        write(frame(("SAMN00010001", "a")), path)
+        write(frame(("SAMN00010001", "changed"), ("SAMN00020001", "b")), path)
+        assert sorted(map(tuple, read(path).collect())) == [("SAMN00010001", "a"), ("SAMN00020001", "b")]
+        write(frame(("SAMN00030001", "c")), path, mode="overwrite")
+        assert [tuple(r) for r in read(path).collect()] == [("SAMN00030001", "c")]
+
+
+def test_names_that_differ_in_case(spark, tmp_path):
+    folder = tmp_path / "table.csv"
+    folder.write_text('sample_id,Species,species,"odd, name"\nS1,a,b,"x\ny"\nS2,NA,,z\n')
+    df = readers.read_attributes(spark, str(folder), na_values=["NA"])
+    assert df.columns == ["sample_id", "Species", "species", "odd, name"]
+    assert [tuple(r) for r in df.collect()] == [("S1", "a", "b", "x\ny"), ("S2", None, None, "z")]
+
+
 def test_a_large_shard_becomes_several_files(spark):
     path = scratch_path(spark, "skew")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")

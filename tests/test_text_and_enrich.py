@@ -1,7 +1,7 @@
 import re
 
 from tagloom.constants import CATEGORY_SCHEME
-from tagloom.operators import enrich, text
+from tagloom.operators import enrich, sieve, text
 
 
 def test_assemble_skips_missing_fields(spark):
@@ -82,9 +82,21 @@ def test_mentions_against_brute_force(spark):
     assert got == want and len(got) >= 7
 
 
-def test_many_first_words_do_not_change_the_result(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a cat and a dog")], "id int, t string")
-    gaz = spark.createDataFrame([("cat", "X"), ("a dog", "Y")], "term string, label string")
-    usual = sorted(enrich.tag_entities(docs, "id", "t", gaz).collect())
-    monkeypatch.setattr(enrich, "_first_word_test", lambda terms: lambda w: w.isNotNull())
-    assert sorted(enrich.tag_entities(docs, "id", "t", gaz).collect()) == usual and len(usual) == 2
+def test_terms_with_marks_and_many_words(spark):
+    terms = ["ready-to-eat food", "Soil/Dust", "food", "one two three four five", "...", "soil dust"]
+    docs = spark.createDataFrame([(1, "Ready to eat food, soil / dust."), (2, "one two, three four-five"), (3, None)], "id int, t string")
+    gaz = spark.createDataFrame([(t, "X") for t in terms], "term string, label string")
+    got = {(r.sample_id, r.term, r.start, r.end) for r in enrich.tag_entities(docs, "id", "t", gaz).collect()}
+    assert got == {
+        (1, "ready-to-eat food", 0, 17), (1, "food", 13, 17), (1, "soil/dust", 19, 30), (1, "soil dust", 19, 30),
+        (2, "one two three four five", 0, 24),
+    }
+    assert enrich.tag_entities(docs, "id", "t", gaz.limit(0)).count() == 0
+
+
+def test_a_long_list_fills_the_sieve(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "BITS", 1 << 10)  # 8,000 first words fill it
+    words = [f"w{i}" for i in range(8_000)]
+    gaz = spark.createDataFrame([(f"{w} end", "X") for w in words], "term string, label string")
+    docs = spark.createDataFrame([(1, "w17 end w18 other w7999 end v1 end")], "id int, t string")
+    assert {r.term for r in enrich.tag_entities(docs, "id", "t", gaz).collect()} == {"w17 end", "w7999 end"}
