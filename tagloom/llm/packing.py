@@ -9,6 +9,8 @@ patterns, whatever the number of pieces; Spark deals the pieces to the patterns'
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -24,52 +26,96 @@ from tagloom.llm.shared import blocks, stored
 CAPACITY = 1024
 END_ID = 2
 #: Most words whose ids a worker keeps; beyond it the store starts afresh.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
+#: Words that are encoded as one text.
+JOINED_WORDS = 2_000
 #: Parts in which the pieces of one length are numbered.
 PARTS = 512
 
 
+#: White space beside a space or at an end of the text: such texts are encoded whole.
+_LOOSE = re.compile(r"^\s| \s|\s |\s$")
+#: What makes the search above worth while in ASCII texts, and in others.
+_ASCII_LOOSE = [pair for c in "\t\n\x0b\f\r\x1c\x1d\x1e\x1f " for pair in {f" {c}", f"{c} "}]
+_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters before this one have had the same Unicode properties in every version.
+_NOT_LATIN = "\u0250"
+
+
+def _loose(text: str) -> bool:
+    if not text or text[0].isspace() or text[-1].isspace() or any(p in text for p in _ASCII_LOOSE):
+        return True
+    return not text.isascii() and any(c in text for c in _WIDE_SPACES) and bool(_LOOSE.search(text))
+
+
+def _merges_by_rank(tokenizer):
+    """A faster encoder with the same vocabulary, or None if the file's ids are not in the order of its merges."""
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    vocabulary, merges = model.get("vocab", {}), model.get("merges", [])
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+    ids = [vocabulary.get(m, -1) for m in joined]
+    if not ids or ids != sorted(ids) or len(set(ids)) != len(ids):
+        return None
+    # The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    alphabet = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    if any(c not in alphabet for token in joined for c in token):
+        return None
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    ranks = {bytes(alphabet[c] for c in t): vocabulary[t] for t in (*alphabet, *joined)}
+    return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, its faster form, which ids begin with a space, and the ids of words after a space."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+    spaced = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+    return tokenizer, _merges_by_rank(tokenizer), spaced, {}
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as unsigned 32-bit numbers, the same as the tokenizer gives for the whole text.
 
-    The tokenizer's pattern always ends a piece before a single space between other characters, so
-    a text is cut there and each distinct part is encoded once. Texts with other white space beside
-    a space are encoded whole.
+    The pattern of the byte-level tokenizer always begins a new piece with a single space between other
+    characters, so a text is cut there and each different word is encoded once. The words to encode are
+    joined by spaces; the ids that begin with a space tell where each starts. Words of Latin letters go through
+    the faster form.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, faster, spaced, known = _tokenizer(path)
 
-    def encode(parts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+    def encode(parts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, dtype="<u4") for x in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    cut: list[list[str] | None] = []
-    missing: dict[str, None] = {}
     if len(known) > KEPT_WORDS:
         known.clear()
-    for text in texts:
-        head, *rest = text.split(" ")
-        parts = [head, *[" " + x for x in rest]]
-        # Each part must begin and end with something solid, but for the ends of the text.
-        if rest and all(x and not x[0].isspace() and not x[-1].isspace() for x in rest[:-1]) and (
-            head and not head[-1].isspace() and rest[-1] and not rest[-1][0].isspace()
-        ):
-            cut.append(parts)
-            missing.update(dict.fromkeys(x for x in parts if x not in known))
-        else:
-            cut.append(None)
-    new = list(missing)
-    known.update(zip(new, encode(new), strict=True))
-    whole = iter(encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
-    return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+    cut = [None if _loose(text) else text.split(" ") for text in texts]
+    missing = set()
+    for words in cut:
+        if words:
+            missing.update(words[1:])
+    latin, other = [], []
+    for word in missing.difference(known):
+        (latin if faster and (word.isascii() or max(word) < _NOT_LATIN) else other).append(word)
+    for new in (latin, other):
+        for at in range(0, len(new), JOINED_WORDS):
+            part = new[at : at + JOINED_WORDS]
+            text = " " + " ".join(part)
+            ids = np.asarray(faster.encode_ordinary(text), dtype="<u4") if new is latin else encode([text])[0]
+            begins = 4 * np.flatnonzero(spaced[ids])
+            raw, ends = ids.tobytes(), [*begins[1:].tolist(), 4 * len(ids)]
+            known.update(zip(part, [raw[a:b] for a, b in zip(begins.tolist(), ends, strict=True)], strict=True))
+    whole = iter(encode([w[0] if w else t for t, w in zip(texts, cut, strict=True)]))
+    return [
+        next(whole).tobytes() + (b"".join(map(known.__getitem__, w[1:])) if w else b"") for w in cut
+    ]
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
