@@ -19,20 +19,25 @@ from tagloom.operators.tfidf import fit_tfidf
 def labelled_sample(
     labels: DataFrame,
     attributes: DataFrame,
-    n: int,
+    n: int | None,
     fields: Sequence[str],
     weight_field: str = "source_type",
     how: str = "equal",
     seed: int = SAMPLE_SEED,
     markers: Iterable[str] = NULL_MARKERS,
+    position: str | None = None,
 ) -> DataFrame:
-    """``n`` labels joined to their attributes, null markers removed.
+    """``n`` labels (None: all) joined to their attributes, null markers removed.
 
-    ``labels`` has sample_id, source_type and source_niche; ``how`` is ``equal`` (every class
+    ``labels`` has sample_id, source_type and source_niche; of repeated ids the last by ``position`` counts,
+    and without that column there must be none. ``how`` is ``equal`` (every class
     alike), ``proportional`` or ``random``.
     """
-    usable = lb.labelled_only(labels)
-    if how == "random":
+    last = lb.last_wins(labels, "sample_id", position) if position else labels
+    usable = lb.labelled_only(last)
+    if n is None:
+        chosen = usable
+    elif how == "random":
         chosen = lb.uniform_sample(usable, n, "sample_id", seed)
     else:
         weighted = lb.class_weight(usable, weight_field, equal=how == "equal")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.constants import PROMPT_HEAD, PROMPT_SEPARATOR
 from tagloom.functions import text as fn
 from tagloom.operators import attributes as at
 from tagloom.operators import labels as lb
@@ -110,13 +111,13 @@ def core_columns(spark: SparkSession, sf: str) -> DataFrame:
     return at.core_columns(orders, "o_orderkey", ["o_custkey", "o_orderdate", "o_orderstatus"])
 
 
-@query(r"""
-    SELECT doc_id AS sample_id,
-           'You will be given sample metadata. Classify the metadata into one of these host categories. '
-           || 'Only use the categories given. Reply with the category only. '
-           || 'Reply Not determined if unsure' || chr(10) || 'Host categories:' || chr(10)
+SQL_PROMPT_HEAD = " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in PROMPT_HEAD.split("\n"))
+
+
+@query(f"""
+    SELECT doc_id AS sample_id, {SQL_PROMPT_HEAD}
            || (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents))
-           || chr(10) || '::' || chr(10)
+           || chr(10) || '{PROMPT_SEPARATOR}' || chr(10)
            || 'source:' || source || ',n_chars:' || n_chars || '.' AS prompt
     FROM documents
 """)

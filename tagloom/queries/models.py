@@ -49,7 +49,7 @@ def cluster_all_methods(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def elbow(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.elbow(table(spark, sf, "embeddings"), "embedding", max_k=6, max_iter=50)
+    return cl.elbow(table(spark, sf, "embeddings"), "embedding")
 
 
 @query()
@@ -81,7 +81,7 @@ def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def classifier_grid(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").withColumn("half", F.slice("embedding", 1, 32))
-    models = cf.classifiers(trees=10, svm_iterations=10)
+    models = cf.classifiers()
     grid = cf.classifier_grid(vectors, ["embedding", "half"], "label", "vec_id", models)
     return cf.compare_classifiers(grid, list(models))
 

@@ -89,9 +89,9 @@ def prompt_workflow(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def cluster_workflow(spark: SparkSession, sf: str) -> DataFrame:
-    """Balanced sample, text, TF-IDF, K-means, labels per cluster."""
+    """All labelled records: text, TF-IDF, K-means, labels per cluster."""
     labels, attributes = _labels_and_attributes(spark, sf)
-    sample = feature_clusters.labelled_sample(labels, attributes, 300, ["lang", "source"])
+    sample = feature_clusters.labelled_sample(labels, attributes, None, ["lang", "source"])
     features = feature_clusters.tfidf_features(sample, ["text"], STOP_WORDS).persist()
     return feature_clusters.cluster_report(features, ["tfidf"])
 
