@@ -1,8 +1,10 @@
 """Jaccard join of word n-gram sets by parity sketches.
 
 Every shingle toggles one bit of a bit sketch, so two sketches differ in at most as many bits as the sets
-differ in shingles. In a band of set sizes at most d shingles may differ, so of d + 1 parts of the
-sketches at least one is equal: equal parts are the keys on which candidates meet. Sets that meet, directly or
+differ in shingles. In a band of set sizes at most d shingles may differ. A sketch is cut into more than d + 1
+parts, and of any d + 1 of them one at least is equal in a set that links. So each set may leave out its
+commonest parts, by an order that all sets share, as long as d + 1 are left: those say least, since many other
+sets have them too. Equal parts are the keys on which candidates meet. Sets that meet, directly or
 through others, form a family, and inside a family all sets are compared exactly, in blocks.
 Equal sets are one row throughout.
 """
@@ -17,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.groups import components
-from tagloom.llm.shared import blocks, mix, shared_keys, shingle_sets, stored, words
+from tagloom.llm.shared import blocks, met_keys, mix, shingle_sets, stored, words
 
-#: Bits of a part of the sketch.
-PART_BITS = 64
+#: Bits of a part of the sketch (only set ones are looked at), and parts for each one that is needed.
+PART_BITS = 1 << 20
+SPARE = 1.25
 #: Most sets and bytes of shingles in a block of a family.
 BLOCK_SETS, BLOCK_SIZE = 512, 1 << 24
 #: Columns of the incidence matrix that are held at once.
@@ -42,37 +45,42 @@ def band_edges(most: int, percent: int) -> np.ndarray:
     return np.array([*edges, max(edges[-1] + 1, (edges[-1] - 1) * 100 // percent + 1)])
 
 
-def sketch_keys(found: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set for its own band and the next: which set, and the key.
+def sketch_keys(found: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each set for its own band and the next: which set, the key, and twice the number of keys that
+    the set can do without, plus one for the next band.
 
     A key is a hash of the band, the part and the part's parity bits. A band in which no two different
-    sets can link has no keys.
+    sets can link has no keys. Empty parts are keys only of sets that have too few others.
     """
     sizes = np.diff(begins)
     edges = band_edges(int(sizes.max(initial=1)), percent)
     own = np.searchsorted(edges, sizes, "right") - 1
-    rows, keys = [], []
+    rows, keys, spares = [], [], []
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    high, bit = found >> np.uint64(32), np.uint64(1) << (found & np.uint64(PART_BITS - 1))
+    high, bit = found >> np.uint64(32), mix(found & np.uint64(PART_BITS - 1))
     for step in (0, 1):
         band = own + step
         differ = 2 * (edges[band + 1] - 1) * (100 - percent) // (100 + percent)
-        parts = np.where((sizes > 0) & (differ > 0), differ + 1, 0)
+        parts = np.where((sizes > 0) & (differ > 0), np.ceil((differ + 1) * SPARE).astype(np.int64), 0)
         base = np.concatenate([[0], np.cumsum(parts)])
         live = parts[owner] > 0
         who = owner[live]
         # Shingles are in ascending order, so those of a part are neighbours.
         part = base[who] + ((high[live] * parts[who].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        parity = np.zeros(base[-1], np.uint64)
+        parity, full = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
         if len(part):
             heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             parity[part[heads]] = np.bitwise_xor.reduceat(bit[live], heads)
+            full[part[heads]] = True
         of = np.repeat(np.arange(len(sizes)), parts)
         place = np.arange(base[-1]) - base[of]
         where = mix(band[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
-        rows.append(of)
-        keys.append(mix(parity ^ where))
-    return np.concatenate(rows), np.concatenate(keys)
+        spare = np.bincount(of[full], minlength=len(sizes)) - (differ + 1)
+        keep = full | (spare[of] < 0)
+        rows.append(of[keep])
+        keys.append(mix(parity ^ where)[keep])
+        spares.append(2 * np.maximum(spare, 0)[of[keep]] + step)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(spares)
 
 
 def _sets(block: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,23 +103,40 @@ def set_sizes(docs: DataFrame, length: int) -> DataFrame:
 
 
 def keyed_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
-    """A row (key, set) for each sketch key of each set."""
+    """A row (key, set, spare) for each sketch key of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             found, begins = _sets(block, length)
             digests = set_digests(found, begins).view(np.int64)
             _, one = np.unique(digests, return_index=True)
-            of, keys = sketch_keys(found, begins, percent)
+            of, keys, spare = sketch_keys(found, begins, percent)
             keep = np.isin(of, one)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(digests[of[keep]])], ["key", "set"])
+            columns = keys[keep].view(np.int64), digests[of[keep]], spare[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "set", "spare"])
 
-    return docs.select("text").mapInArrow(run, "key long, set long")
+    return docs.select("text").mapInArrow(run, "key long, set long, spare long")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (hub, member) of sets that meet on a key (``rows``: key, set, spare), the hub for all of a key's.
+
+    A set first leaves out as many of its commonest keys as it can spare.
+    """
+    met = stored(met_keys(rows), "met").withColumnRenamed("member", "set")
+    often = met.groupBy("key").agg(F.count("*").alias("n"))
+    # A set has a bounded number of keys, by its size.
+    own = met.join(often, "key").groupBy("set", "more").agg(F.sort_array(F.collect_list(F.struct("n", "key")), asc=False).alias("keys"))
+    rest = F.slice("keys", F.shiftright("more", 1).cast("int") + 1, F.size("keys"))
+    kept = stored(own.select("set", F.explode(rest).alias("k")).select("k.key", "set"), "kept")
+    hubs = kept.groupBy("key").agg(F.min("set").alias("hub"))
+    return kept.join(hubs, "key").filter("hub <> set").select("hub", F.col("set").alias("member")).distinct()
 
 
 def _with_shingles(chosen: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """The shingles of chosen sets (doc_id, set and more) from the text of one document that has them."""
-    joined = chosen.join(docs.select("doc_id", "text"), "doc_id")
+    # The chosen grow with the documents, so both sides are dealt by id whatever their size.
+    joined = chosen.join(docs.select("doc_id", "text").hint("merge"), "doc_id")
     more = [c for c in chosen.columns if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +263,8 @@ def jaccard_groups(docs: DataFrame, length: int = 3, percent: int = 90, keys: Da
         .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")),
         "classes",
     )
-    rows = keyed_sets(known, length, percent) if keys is None else keys
-    pairs = shared_keys(rows).select("hub", "member")
-    families = components(pairs, "families").withColumnsRenamed({"node": "set", "component_id": "family"})
+    rows = keyed_sets(known, length, percent) if keys is None else keys.select("key", "set", F.lit(0).cast("long").alias("spare"))
+    families = components(candidates(rows), "families").withColumnsRenamed({"node": "set", "component_id": "family"})
     chosen = stored(classes.join(families, "set"), "candidates")
     found = stored(linked_sets(chosen, known, length, percent), "links")
     groups = components(found.select("set", "to"), "groups").withColumnsRenamed({"node": "set", "component_id": "group"})

@@ -10,11 +10,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagloom.session import scratch_path
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
+#: Digits of a number within a part of a sieve (8 KB).
+SIEVE_PART = 16
 _RANDOM = np.random.default_rng(20240607)
 #: A random 64-bit number for each byte, and for each byte with A-Z in lower case.
 BYTE_CODES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -177,6 +181,42 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hub, last = k[-1], hubs[-1], m[-1]
 
 
+def sieve(numbers: DataFrame, most: int) -> Broadcast:
+    """A bit for the last binary digits of each number (one long column, without nulls), for all tasks.
+
+    There are about 16 bits for each number, but never more than ``2 ** most``. The more numbers there are
+    beyond that, the more others pass too, so what follows must not depend on them.
+    """
+    bits = min(most, max(SIEVE_PART, int(16 * numbers.count()).bit_length()))
+    number = F.col(numbers.columns[0]).bitwiseAND((1 << bits) - 1)
+    part = F.shiftright("number", SIEVE_PART).alias("part")
+    dealt = numbers.select(number.alias("number")).distinct().select(part, "number").repartition("part").sortWithinPartitions("part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, numbers = (np.asarray(batch.column(c)) for c in (0, 1))
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1), len(parts)]
+            rows = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    here = np.zeros(1 << SIEVE_PART, bool)
+                    here[numbers[a:b] & ((1 << SIEVE_PART) - 1)] = True
+                    rows.append((int(parts[a]), np.packbits(here, bitorder="little").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["part", "set"])
+
+    table = np.zeros((1 << (bits - SIEVE_PART), 1 << (SIEVE_PART - 3)), np.uint8)
+    for row in dealt.mapInArrow(run, "part long, set binary").toLocalIterator():
+        table[row["part"]] |= np.frombuffer(row["set"], np.uint8)
+    return numbers.sparkSession.sparkContext.broadcast(table.ravel().view(np.uint64))
+
+
+def passes(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether each of the unsigned numbers passes a sieve."""
+    number = numbers & np.uint64(64 * len(table) - 1)
+    return (table[(number >> np.uint64(6)).astype(np.int64)] >> (number & np.uint64(63))) & np.uint64(1) == 1
+
+
 def shared_keys(rows: DataFrame) -> DataFrame:
     """Keys that several members have: a row (key, hub, member) for each member but the smallest, the hub.
 
@@ -186,3 +226,41 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     key, member = rows.columns
     dealt = rows.repartition(key).sortWithinPartitions(key, member)
     return dealt.mapInArrow(_shared, "key long, hub long, member long")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: tuple | None = None  # key and member of the last row
+    waiting: list | None = None  # the only row of the last key so far
+    for batch in batches:
+        rows = [np.asarray(batch.column(c)) for c in range(3)]
+        if not len(rows[0]):
+            continue
+        same = np.zeros(len(rows[0]), bool)
+        same[1:] = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+        same[0] = last == (rows[0][0], rows[1][0])
+        goes_on = last is not None and last[0] == rows[0][0] and waiting is None
+        last = (rows[0][-1], rows[1][-1])
+        rows = [r[~same] for r in rows]
+        if waiting is not None:
+            rows = [np.concatenate([[w], r]) for w, r in zip(waiting, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = rows[0][1:] != rows[0][:-1]
+        run = np.cumsum(new) - 1
+        keep = np.bincount(run)[run] > 1
+        if goes_on:
+            keep |= (run == 0) & (rows[0] == rows[0][0])
+        waiting = None if keep[-1] else [r[-1] for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], ["key", "member", "more"])
+
+
+def met_keys(rows: DataFrame) -> DataFrame:
+    """The rows (key, member, more) of keys that several members have, each member once for a key.
+
+    ``rows`` has three long columns without nulls, and equal members of a key have the same third. Rows are
+    sorted by Spark and read as a stream, so a key with any number of members needs no memory.
+    """
+    key, member, _ = rows.columns
+    dealt = rows.repartition(key).sortWithinPartitions(key, member)
+    return dealt.mapInArrow(_met, "key long, member long, more long")
