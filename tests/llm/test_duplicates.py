@@ -75,11 +75,29 @@ def test_sketch_parts_differ_at_most_as_sets_do():
             for b in (a[: len(a) - most], np.unique(np.concatenate([a, rng.integers(0, 1 << 63, most, dtype=np.uint64)]))):
                 if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
                     continue
-                of, keys = jaccard.sketch_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+                of, keys, _ = jaccard.sketch_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
                 equal = len(a) == len(b)
                 assert equal or set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
 
 
+def test_met_keys(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(40), rng.randrange(6)) for _ in range(300)] + [(99, 1)] * 50 + [(100, k) for k in range(500)]
+    rows = [(k, m, 10 * k + m) for k, m in rows]
+    members = {}
+    for k, m, _ in rows:
+        members.setdefault(k, set()).add(m)
+    want = sorted((k, m, 10 * k + m) for k, own in members.items() if len(own) > 1 for m in own)
+    table = spark.createDataFrame(rows, "key long, member long, more long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # keys go over many batches
+    try:
+        assert sorted(map(tuple, shared.met_keys(table).collect())) == want
+        found = shared.shared_keys(table.select("key", "member")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, found)) == sorted((k, min(own), m) for k, own in members.items() for m in own if m != min(own))
+
+
 def test_words_and_shingles_of_blocks():
     import pyarrow as pa
 
@@ -138,6 +156,9 @@ def test_hot_anchors_and_small_shards(documents, odd_documents, monkeypatch):
     usual = substrings.remove_repeats(documents).select("doc_id", "n_removed").collect()
     monkeypatch.setattr(substrings, "HOT", 2)
     monkeypatch.setattr(substrings, "SHARD_WORDS", 50)
+    monkeypatch.setattr(substrings, "SIEVE_BITS", 7)  # all anchors and documents pass
+    monkeypatch.setattr(shared, "SIEVE_PART", 6)
+    monkeypatch.setattr(substrings, "KEPT_BODIES", 3)
     split = substrings.remove_repeats(documents).select("doc_id", "n_removed").collect()
     assert sorted(usual, key=str) == sorted(split, key=str)
 
