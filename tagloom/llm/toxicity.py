@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +21,14 @@ from tagloom.llm.shared import blocks, mix, text_bytes, words
 #: Most labelled texts of either label that the model is fitted on; a hash of the id picks them.
 MOST_TEXTS = 5_000
 #: Most features, and least number of different labelled texts that must have one.
-MOST_FEATURES, LEAST_TEXTS = 4096, 5
+MOST_FEATURES, LEAST_TEXTS = 4096, 3
 #: First letters (bytes of UTF-8, A-Z folded) that are features besides the whole word.
 PREFIXES = (4, 5, 6)
-#: Grade k + 1 begins at this many telling features (a word has up to four).
-GRADE_STARTS = (1, 12, 32)
-PENALTY = 1e-3
+#: Least likelihood ratio (twice its logarithm) of a feature: below it, chance explains it.
+LEAST_RATIO = 11.0
+#: Shares of the toxic texts up to which grades 1 and 2 go; the rest has grade 3.
+GRADE_SHARES = (1 / 3, 2 / 3)
+PENALTY = 1e-4
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +157,22 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> Grader:
             return none
         each = sparse.select("toxic", F.explode("found").alias("feature"))
         counts = each.groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
-        bad = (F.col("bad") + 0.5) / (labels_seen[1] + 1)
-        good = (F.col("n") - F.col("bad") + 0.5) / (labels_seen[0] + 1)
-        ranked = counts.withColumn("lift", F.log(bad / good)).withColumn("rank", F.abs("lift") * F.sqrt("n"))
+        all_bad, all_good = labels_seen[1], labels_seen[0]
+        bad, good = F.col("bad"), F.col("n") - F.col("bad")
+        lift = F.log(((bad + 0.5) / (all_bad + 1)) / ((good + 0.5) / (all_good + 1)))
+
+        def part(seen, all_seen: int):
+            """What one label adds to the likelihood ratio: texts with and without the feature."""
+            share = all_seen / (all_bad + all_good)
+            rest, others = F.lit(all_seen) - seen, F.lit(all_bad + all_good) - F.col("n")
+            x_log_x = lambda x, of: F.when(x > 0, x * F.log(x / (of * share))).otherwise(0.0)
+            return x_log_x(seen, F.col("n")) + x_log_x(rest, others)
+
+        ranked = counts.withColumn("lift", lift).withColumn("rank", 2 * (part(bad, all_bad) + part(good, all_good)))
+        ranked = ranked.filter(F.col("rank") >= LEAST_RATIO)
         top = ranked.orderBy(F.desc("rank"), "feature").limit(MOST_FEATURES).select("feature", "lift", "n", "bad").toPandas()
+        if not len(top):
+            return none
         top = top.sort_values("feature", key=lambda s: s.to_numpy().view(np.uint64))
         hashes = top["feature"].to_numpy(np.int64).view(np.uint64)
         # What the driver gets is a bounded number of texts, with chosen features only.
@@ -180,7 +193,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> Grader:
     telling = ((top["lift"] > 2.0) & (top["bad"] >= 0.9 * top["n"]) & (top["n"] >= 3 * LEAST_TEXTS)).to_numpy()
     number = np.bincount(owner, weights=telling[feature].astype(float), minlength=len(lists))
     toxic = rows["toxic"].to_numpy()
-    grades = np.where(toxic > 0, np.maximum(1, np.searchsorted(GRADE_STARTS, number, "right")), 0)
+    starts = np.unique(np.quantile(number[toxic > 0], GRADE_SHARES))
+    grades = np.where(toxic > 0, 1 + np.searchsorted(starts, number, "left"), 0)
+    grades = np.unique(grades, return_inverse=True)[1]
     weights, thresholds = fit_ordinal(owner, feature, grades, len(hashes))
     return Grader(hashes, weights, thresholds)
 
@@ -194,17 +209,19 @@ def grade(docs: DataFrame, model: Grader) -> DataFrame:
     """
     own = [c for c in docs.columns if c not in ("severity", "grade", "p_toxic")]
 
-    @F.pandas_udf("severity double, grade int, p_toxic double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        out = []
+    @F.arrow_udf("severity double, grade int, p_toxic double")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        found = [np.zeros((0, len(model.thresholds) + 1))]
         for block in blocks(iter([batch]), "text"):
             kinds, first = features(block.column("text"))
             owner, feature = _known(kinds, first, model.hashes)
             score = np.bincount(owner, weights=model.weights[feature], minlength=block.num_rows)
             p = model.probabilities(score)
             p[np.diff(first) == 0] = [1.0] + [0.0] * (p.shape[1] - 1)
-            out.append(pd.DataFrame({"severity": p @ np.arange(p.shape[1]), "grade": p.argmax(1).astype(np.int32), "p_toxic": 1 - p[:, 0]}))
-        return pd.concat(out) if out else pd.DataFrame({"severity": [], "grade": [], "p_toxic": []})
+            found.append(p)
+        p = np.concatenate(found)
+        columns = p @ np.arange(p.shape[1]), p.argmax(1).astype(np.int32), 1 - p[:, 0]
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["severity", "grade", "p_toxic"])
 
     return docs.select(*own, run("text").alias("_graded")).select(*own, "_graded.*")

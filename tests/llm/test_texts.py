@@ -240,7 +240,7 @@ def toxic_rows():
         bad = i % 8 == 0
         if bad:
             for _ in range(rng.randrange(1, 9)):
-                words.insert(rng.randrange(len(words)), "vil" + rng.choice(["lain", "e", "ified", "ous!"]) if rng.random() < 0.5 else "Scum,")
+                words.insert(rng.randrange(len(words)), "villain" + rng.choice(["", "s", "ous", "y!"]) if rng.random() < 0.5 else "Scum,")
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad)))
     return rows, labels
@@ -255,7 +255,8 @@ def test_toxicity(spark, documents, no_documents):
     graded = toxicity.grade(table, model)
     assert set(graded.columns) == {"doc_id", "text", "weight", "severity", "grade", "p_toxic"}
     unseen = graded.filter("doc_id >= 300").join(truth.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
-    assert all((r["p_toxic"] >= 0.5) == (r["toxic"] == 1) for r in unseen)
+    wrong = [r for r in unseen if (r["p_toxic"] >= 0.5) != (r["toxic"] == 1)]
+    assert len(unseen) == 100 and not wrong, wrong
     odd = toxicity.grade(documents, model)
     assert odd.count() == documents.count()
     assert {r["severity"] for r in odd.filter("text is null or trim(text) = ''").collect()} == {0.0}
