@@ -6,10 +6,8 @@ estimate lies near the threshold get an exact count of their sites, so the sketc
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagloom.llm.shared import stored
 
@@ -20,14 +18,6 @@ MIN_SITES = 10
 REGISTERS, NEAR = 12, 0.2
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, places: pd.Series) -> pd.Series:
-    def left(text: str | None, gone: set[int]) -> str | None:
-        return None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
-
-    return pd.Series([left(t, set() if p is None else set(p)) for t, p in zip(texts, places, strict=True)], dtype=object)
-
-
 def _key(line: Column) -> Column:
     """128 bits of a line without the white space at its ends."""
     return F.unhex(F.md5(line))
@@ -97,8 +87,7 @@ def remove_lines(
     # The places grow with the documents, so both sides are dealt by id whatever their size.
     joined = docs.hint("merge").join(places, docs["doc_id"] == F.col("_id"), "left")
     cut = F.split("text", "\n")
-    # Only texts that lose a line go to Python.
-    left = _without(F.when(F.col("_places").isNotNull(), F.col("text")), F.col("_places"))
+    left = F.array_join(F.filter(cut, lambda line, at: ~F.array_contains("_places", at)), "\n")
     text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(left)
     return joined.select(
         *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],

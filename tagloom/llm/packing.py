@@ -26,7 +26,7 @@ from tagloom.llm.shared import blocks, stored
 CAPACITY = 1024
 END_ID = 2
 #: Most words whose ids a worker keeps; beyond it the store starts afresh.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 #: Words that are encoded as one text.
 JOINED_WORDS = 2_000
 #: Parts in which the pieces of one length are numbered.
@@ -148,6 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 [block.column("doc_id").take(pa.array(which)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        _tokenizer(tokenizer_path)[-1].clear()  # the worker goes on to other tasks
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long"

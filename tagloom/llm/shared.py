@@ -50,6 +50,14 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> SparkSession:
+    """Pass whole texts to Python in smaller batches than Spark's default, unless the session has its own size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+    return spark
+
+
 def cores(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.llm.shared import blocks, mix, text_bytes, words
 
@@ -207,21 +208,19 @@ def grade(docs: DataFrame, model: Grader) -> DataFrame:
     Features count once a text, so a long text is not worse for its length. Null, empty and blank
     texts have severity 0. Rows are kept as they are; columns of those names are replaced.
     """
-    own = [c for c in docs.columns if c not in ("severity", "grade", "p_toxic")]
+    own = docs.select(*[c for c in docs.columns if c not in ("severity", "grade", "p_toxic")])
+    kinds_out = T.StructType(
+        [*own.schema.fields, *T.StructType.fromDDL("severity double, grade int, p_toxic double").fields]
+    )
 
-    @F.arrow_udf("severity double, grade int, p_toxic double")
-    def run(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        found = [np.zeros((0, len(model.thresholds) + 1))]
-        for block in blocks(iter([batch]), "text"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
             kinds, first = features(block.column("text"))
             owner, feature = _known(kinds, first, model.hashes)
             score = np.bincount(owner, weights=model.weights[feature], minlength=block.num_rows)
             p = model.probabilities(score)
             p[np.diff(first) == 0] = [1.0] + [0.0] * (p.shape[1] - 1)
-            found.append(p)
-        p = np.concatenate(found)
-        columns = p @ np.arange(p.shape[1]), p.argmax(1).astype(np.int32), 1 - p[:, 0]
-        return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["severity", "grade", "p_toxic"])
+            graded = p @ np.arange(p.shape[1]), p.argmax(1).astype(np.int32), 1 - p[:, 0]
+            yield pa.RecordBatch.from_arrays([*block.columns, *map(pa.array, graded)], kinds_out.names)
 
-    return docs.select(*own, run("text").alias("_graded")).select(*own, "_graded.*")
+    return own.mapInArrow(run, kinds_out)
