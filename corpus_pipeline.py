@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import jaccard, lines, mixing, packing, toxicity
 from tagloom.llm.queries import tokenizer_path
-from tagloom.llm.shared import ship, stored
+from tagloom.llm.shared import ship, small_batches, stored
 
 
 def screen_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def screen_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The model learns from the documents of this stage that ``labels`` covers.
     """
+    small_batches(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     own = [c for c in docs.columns]
     inner = docs.select(*[F.col(c).alias(f"c{i}") if c != "text" else F.col(c) for i, c in enumerate(own)])
