@@ -15,18 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.shared import blocks, mix, sequences, shared_keys, stored, words
+from tagloom.llm.shared import blocks, mix, passes, sequences, shared_keys, sieve, stored, words
 
 WINDOW, ANCHOR = 13, 5
 #: Most windows in a segment.
 LONGEST = 64
 #: An anchor that so many documents have is split: each of its windows is routed by its own hash.
 HOT = 500
+#: Bodies that a task remembers.
+KEPT_BODIES = 200_000
 #: Words of the segments that are indexed together.
 SHARD_WORDS = 1 << 19
+#: The sieves of anchors and of documents have 2 to this power bits at most (32 MB).
+SIEVE_BITS = 28
 
 
 class WaveletMatrix:
@@ -151,32 +156,27 @@ def anchors_of(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
     return docs.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
 
 
-def segments_of(flagged: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Segments of documents at their shared anchors: route, body_key, doc_id, tag, start, body.
+def segments_of(docs: DataFrame, shared: Broadcast, hot: Broadcast, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """Segments of documents (doc_id, tag, text) at their shared anchors: route, body_key, doc_id, tag, start, body.
 
-    ``flagged`` has doc_id, tag, text, shared and hot (lists of anchors). A segment is a stretch of windows with
-    one anchor; body holds 32 bits of the hash of each of its words. Windows of a hot anchor are segments
-    of their own, routed by all their words.
+    ``shared`` and ``hot`` are sieves of anchors. A segment is a stretch of windows with one anchor; body holds 32
+    bits of the hash of each of its words. Windows of a hot anchor are segments of their own, routed by all
+    their words. A body that a task has passed on lately for this or a smaller document is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: dict[int, int] = {}
         for block in blocks(batches, "text"):
             codes, _, _, first = words(block.column("text"))
+            ids = np.asarray(block.column("doc_id"))
             at, found = window_anchors(codes, first, window, anchor)
-            owner = np.searchsorted(first, at, "right") - 1
-            shared, hot = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            edges = np.searchsorted(owner, np.arange(block.num_rows + 1))
-            for name, flags in (("shared", shared), ("hot", hot)):
-                lists = block.column(name)
-                for i in range(block.num_rows):
-                    own = lists[i].values
-                    if own is not None and len(own):
-                        flags[edges[i] : edges[i + 1]] = np.isin(found[edges[i] : edges[i + 1]], np.asarray(own).view(np.uint64))
-            at, found, owner, hot = (x[shared] for x in (at, found, owner, hot))
+            known = passes(shared.value, found)
+            at, found = at[known], found[known]
             if not len(at):
                 continue
+            owner, split = np.searchsorted(first, at, "right") - 1, passes(hot.value, found)
             new = np.ones(len(at), bool)
-            new[1:] = (found[1:] != found[:-1]) | (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | hot[1:]
+            new[1:] = (found[1:] != found[:-1]) | (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | split[1:]
             heads = np.flatnonzero(new)
             place = np.arange(len(at)) - heads[np.cumsum(new) - 1]
             heads = np.flatnonzero(new | (place % LONGEST == 0))
@@ -184,8 +184,15 @@ def segments_of(flagged: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             short = (codes >> np.uint64(32)).astype(np.uint32)
             bodies = [short[a : a + n + window - 1].tobytes() for a, n in zip(at[heads], sizes, strict=True)]
             keys = np.array([int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little") for b in bodies], np.uint64)
-            route = np.where(hot[heads], mix(keys), found[heads])
+            route = np.where(split[heads], mix(keys), found[heads])
             rows = pa.array(owner[heads])
+            if len(passed) > KEPT_BODIES:
+                passed.clear()
+            for i, (key, doc) in enumerate(zip(keys.tolist(), ids[owner[heads]].tolist(), strict=True)):
+                if passed.get(key, doc + 1) <= doc:
+                    bodies[i] = None
+                else:
+                    passed[key] = doc
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(route.view(np.int64)),
@@ -198,7 +205,7 @@ def segments_of(flagged: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 ["route", "body_key", "doc_id", "tag", "start", "body"],
             )
 
-    return flagged.mapInArrow(run, "route long, body_key long, doc_id long, tag long, start int, body binary")
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "route long, body_key long, doc_id long, tag int, start int, body binary")
 
 
 def _search(window: int):
@@ -212,8 +219,15 @@ def _search(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.asarray(batch.column("body_key"))
+            new = np.ones(len(keys), bool)
+            new[1:], new[0] = keys[1:] != keys[:-1], keys[0] != last
+            last = keys[-1]
+            batch = batch.filter(pa.array(new))
             if not batch.num_rows:
                 continue
             # Shards end where the route changes, once they are large enough.
@@ -245,18 +259,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """
     known = docs.filter("doc_id is not null and text is not null")
     met = stored(shared_keys(anchors_of(known, window, anchor)), "anchors")
-    crowded = met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT).select("key", F.lit(True).alias("hot"))
-    each = met.select("key", F.col("member").alias("doc_id")).union(met.select("key", F.col("hub").alias("doc_id")).distinct())
-    lists = each.join(crowded, "key", "left").groupBy("doc_id").agg(
-        F.collect_list("key").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")
-    )
-    # The lists grow with the documents, so both sides are dealt by id whatever their size.
-    flagged = known.select("doc_id", "tag", "text").hint("merge").join(lists, "doc_id")
-    segments = stored(segments_of(flagged, window, anchor), "segments")
-    bodies = segments.groupBy("route", "body_key", "body").agg(F.min("doc_id").alias("first"))
-    dealt = bodies.repartition("route").sortWithinPartitions("route")
-    firsts = dealt.mapInArrow(_search(window), "route long, body_key long, firsts array<long>")
-    hits = segments.select("route", "body_key", "doc_id", "tag", "start").join(firsts, ["route", "body_key"])
+    often = stored(met.groupBy("key").agg(F.count("*").alias("n")), "anchor-counts")
+    shared, hot = sieve(often.select("key"), SIEVE_BITS), sieve(often.filter(F.col("n") >= HOT).select("key"), SIEVE_BITS)
+    segments = stored(segments_of(known, shared, hot, window, anchor), "segments")
+    # Each task passes on a body for its smallest document, so a body has few rows here, and the first is the least.
+    bodies = segments.filter("body is not null").select("route", "body_key", F.col("doc_id").alias("first"), "body")
+    dealt = bodies.repartition("route").sortWithinPartitions("route", "body_key", "first")
+    firsts = dealt.mapInArrow(_search(window), "route long, body_key long, firsts array<long>").drop("route")
+    hits = segments.select("body_key", "doc_id", "tag", "start").join(firsts, "body_key")
     earlier = F.filter(
         F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i)), lambda at: at.isNotNull()
     )
@@ -277,8 +287,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     id don't count against each other; rows with a null id lose nothing and take nothing. Words are
     compared by 32 bits of a hash, windows by 13 of them.
     """
-    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    joined = tagged.hint("merge").join(repeated_windows(tagged, window, anchor), ["doc_id", "tag"], "left").select("doc_id", "text", "windows")
+    tag = F.pmod(F.xxhash64("text"), F.lit(1 << 15)).cast("int")
+    tagged = docs.select("doc_id", "text", tag.alias("tag"))
+    found = stored(repeated_windows(tagged, window, anchor), "windows")
+    # Texts that lose nothing stay where they are read.
+    losing = sieve(found.select("doc_id"), SIEVE_BITS)
+
+    def choose(want: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id")
+                held = passes(losing.value, np.asarray(ids.fill_null(0)).view(np.uint64)) & np.asarray(ids.is_valid())
+                yield batch.filter(pa.array(held == want))
+
+        return tagged.mapInArrow(run, "doc_id long, text string, tag int")
+
+    joined = choose(True).hint("merge").join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "windows")
+    joined = joined.union(choose(False).select("doc_id", "text", F.lit(None).cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
