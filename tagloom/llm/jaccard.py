@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.groups import components
-from tagloom.llm.shared import blocks, met_keys, mix, shingle_sets, stored, words
+from tagloom.llm.shared import blocks, met_keys, mix, passes, shingle_sets, sieve, stored, words
 
 #: Bits of a part of the sketch (only set ones are looked at), and parts for each one that is needed.
 PART_BITS = 1 << 20
@@ -28,6 +28,8 @@ SPARE = 1.25
 BLOCK_SETS, BLOCK_SIZE = 512, 1 << 24
 #: Columns of the incidence matrix that are held at once.
 COLUMNS = 2048
+#: Most binary digits of a sieve of documents.
+SIEVE = 27
 
 
 def set_digests(found: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -152,6 +154,18 @@ def _with_shingles(chosen: DataFrame, docs: DataFrame, length: int) -> DataFrame
     return joined.select(*more, "text").mapInArrow(run, f"{kinds}, shingles binary")
 
 
+def _documents_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents whose ids pass a sieve of the chosen ones: all of those, and few others."""
+    table = sieve(chosen.select(F.xxhash64("doc_id").alias("number")), SIEVE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = np.asarray(batch.column("number")).view(np.uint64)
+            yield batch.select(["doc_id", "text"]).filter(pa.array(passes(table.value, numbers)))
+
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("number")).mapInArrow(run, "doc_id long, text string")
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two sets share."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -255,6 +269,11 @@ def jaccard_groups(docs: DataFrame, length: int = 3, percent: int = 90, keys: Da
     copies of each other. Shingles and sets are compared by 64-bit hashes. ``keys`` (key, set) replaces the
     sketches' keys.
     """
+    return set_groups(docs, length, percent, keys).drop("set")
+
+
+def set_groups(docs: DataFrame, length: int = 3, percent: int = 90, keys: DataFrame | None = None) -> DataFrame:
+    """:func:`jaccard_groups` with set, the hash of the row's shingles, null for rows that can't link."""
     sized = stored(set_sizes(docs, length), "sets")
     known = docs.filter("doc_id is not null")
     classes = stored(
@@ -266,7 +285,9 @@ def jaccard_groups(docs: DataFrame, length: int = 3, percent: int = 90, keys: Da
     rows = keyed_sets(known, length, percent) if keys is None else keys.select("key", "set", F.lit(0).cast("long").alias("spare"))
     families = components(candidates(rows), "families").withColumnsRenamed({"node": "set", "component_id": "family"})
     chosen = stored(classes.join(families, "set"), "candidates")
-    found = stored(linked_sets(chosen, known, length, percent), "links")
+    # Most sets have a sketch key in common with others, few a key of the caller's.
+    texts = known if keys is None else _documents_of(known, chosen)
+    found = stored(linked_sets(chosen, texts, length, percent), "links")
     groups = components(found.select("set", "to"), "groups").withColumnsRenamed({"node": "set", "component_id": "group"})
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     grouped_classes = classes.join(groups, "set")
@@ -286,6 +307,7 @@ def jaccard_groups(docs: DataFrame, length: int = 3, percent: int = 90, keys: Da
         .join(own, "set", "left")
         .select(
             "doc_id",
+            "set",
             "n_shingles",
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             F.coalesce("component_id", "doc_id").alias("component_id"),

@@ -107,8 +107,8 @@ def op8_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    """MinHash fingerprints of every text and of its edited form."""
-    return fingerprints.edited_fingerprints(table(spark, sf, "documents"))
+    """MinHash fingerprints of every text and of its edited form, and the near copies that their bands find."""
+    return fingerprints.linked_fingerprints(table(spark, sf, "documents"))
 
 
 @query

@@ -58,6 +58,17 @@ def test_band_keys_find_the_same_groups(documents, odd_documents):
     assert sorted([tuple(r) for r in found], key=str) == linked(odd_documents, 5, 80)
 
 
+def test_fingerprint_query_has_the_near_copies_of_all_rows(spark, documents, odd_documents, no_documents, tmp_path):
+    from tagloom.llm import queries
+
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op10_fingerprints(spark, str(tmp_path)).collect()
+    want = sorted(((i, n, c) for i, _, n, c in linked(odd_documents, 5, 80)), key=str)
+    assert sorted([(r["doc_id"], r["n_links"], r["component_id"]) for r in found], key=str) == want
+    assert any(n for _, n, _ in want)
+    assert fingerprints.linked_fingerprints(no_documents).count() == 0
+
+
 def test_empty_tables(no_documents, spark):
     assert jaccard.jaccard_groups(no_documents).count() == 0
     assert substrings.remove_repeats(no_documents).count() == 0
