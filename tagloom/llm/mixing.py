@@ -128,8 +128,9 @@ def mix(
     sized = stored(numbered(docs).select("doc_id", "copy", "source", "n_tokens"), "sized")
     totals = stored(source_totals(sized), "totals")
     exponent = find_exponent(totals, entropy, max_repeat, budget)
+    # A source of blank texts has no tokens; greatest passes over its null.
     goal = weights(totals, exponent, budget).withColumn(
-        "epochs", F.greatest(F.lit(1), F.ceil(F.col("target") / F.col("n_tokens"))).cast("int")
+        "epochs", F.greatest(F.lit(1), F.ceil(F.try_divide("target", "n_tokens"))).cast("int")
     )
     goal = stored(goal, "goal")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
