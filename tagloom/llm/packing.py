@@ -81,8 +81,35 @@ def _tokenizer(path: str):
     return tokenizer, _merges_by_rank(tokenizer), spaced, {}
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[str, ...]:
+    """The tokens that the file adds to the model's, as they stand in texts."""
+    return tuple(t.content for t in _tokenizer(path)[0].get_added_tokens_decoder().values() if t.content)
+
+
+@lru_cache(maxsize=2)
+def _unmodified(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def file_ids(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each text as the unmodified tokenizer gives them, where added tokens have ids of their own."""
+    added = _added(path)
+    marked = [k for k, text in enumerate(texts) if any(token in text for token in added)]
+    if not marked:
+        return token_ids(texts, path)
+    # Texts with added tokens are encoded whole.
+    own = _unmodified(path).encode_batch_fast([texts[k] for k in marked], add_special_tokens=False)
+    by_place = {k: np.asarray(x.ids, dtype="<u4").tobytes() for k, x in zip(marked, own, strict=True)}
+    rest = iter(token_ids([text for k, text in enumerate(texts) if k not in by_place], path))
+    return [by_place[k] if k in by_place else next(rest) for k in range(len(texts))]
+
+
 def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as unsigned 32-bit numbers, the same as the tokenizer gives for the whole text.
+    """Ids of each text as unsigned 32-bit numbers, the same as the tokenizer gives for the whole text if
+    it takes special tokens as plain text (:func:`file_ids` doesn't).
 
     The pattern of the byte-level tokenizer always begins a new piece with a single space between other
     characters, so a text is cut there and each different word is encoded once. The words to encode are
@@ -138,7 +165,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             texts = block.column("text").fill_null("").to_pylist()
             rows = [
                 (i, k, *piece)
-                for i, ids in enumerate(token_ids(texts, tokenizer_path))
+                for i, ids in enumerate(file_ids(texts, tokenizer_path))
                 for k, piece in enumerate(pieces_of(ids + end, capacity) if ids + end else [])
             ]
             if not rows:
