@@ -107,15 +107,17 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    texts: pa.Array, fold: bool = False, gaps: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of every word, and the number of words before each text.
 
-    Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage
-    return. The hash is a polynomial over random byte codes, taken from running sums, so a block
+    Words are runs of bytes other than ``gaps`` (a flag for each byte): space, tab, line feed, vertical tab, form
+    feed and carriage return. The hash is a polynomial over random byte codes, taken from running sums, so a block
     of texts costs a few passes over its bytes. ``fold`` counts A-Z as a-z.
     """
     raw, offsets = text_bytes(texts)
-    solid = ~IS_SPACE[raw]
+    solid = ~gaps[raw]
     begins, stops = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     stops[:-1] &= ~solid[1:]
