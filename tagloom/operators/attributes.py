@@ -21,6 +21,8 @@ from tagloom.functions.values import (
     null_if_marker,
 )
 
+#: Stands behind a record while it is parsed.
+_END = "end of the record"
 _RECORD_SCHEMA = "`@accession` string, Attributes string"
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
 _ATTRIBUTE_SCHEMA = (
@@ -42,23 +44,25 @@ def parse_records(df: DataFrame, raw: str = "raw", file_id: str | None = None) -
     ``attributes`` is null when the record has none.
     """
     text = as_column(raw)
-    record = once(df, "__record", F.from_json(text, _RECORD_SCHEMA, _STRICT))
-    body_id = F.col("__record.`@accession`")
-    # The parser stops at the end of the first value: whatever follows would spoil one of these.
-    in_list = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
-    in_object = F.from_json(F.concat(F.lit('{"r":'), text, F.lit("}")), "r string", _STRICT)
-    whole = (
-        F.coalesce(F.size(in_list) == 1, F.lit(False))
-        & in_object["r"].isNotNull()
-        & F.ltrim(F.translate(text, "\n\r\t", "   ")).startswith("{")
+    # One parse decides: a list of the record and an end mark has just these two entries, or something else is behind
+    # the record. Texts that this parser refuses are looked at again below.
+    wrapped = F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))
+    record = once(df, "__record", F.try_parse_json(wrapped))
+    whole = F.coalesce(F.try_variant_get("__record", "$[1]", "string") == _END, F.lit(False)) & _opens(text)
+    record = record.withColumn("__whole", whole)
+    attribute = "$[0].Attributes.Attribute"
+    listed = F.coalesce(
+        F.try_variant_get("__record", attribute, _ATTRIBUTE_SCHEMA),
+        # a single attribute is no list
+        F.array_compact(F.array(F.try_variant_get("__record", attribute, _ATTRIBUTE_SCHEMA[len("array<") : -1]))),
     )
-    sample_id = as_column(file_id) if file_id else body_id
-    # No attributes may be written as an empty text, list or object too.
-    inner = F.get_json_object("__record.Attributes", "$.Attribute")
-    listed = F.from_json(as_json_array(inner), _ATTRIBUTE_SCHEMA, _STRICT)
-    malformed = ~whole
+    listed = F.when(F.size(listed) > 0, listed)
+    body_id = F.try_variant_get("__record", "$[0]['@accession']", "string")
+    other_id, other_listed, other_whole = _lenient(text)
+    malformed = ~(F.col("__whole") | other_whole)
+    sample_id = as_column(file_id) if file_id else F.when(F.col("__whole"), body_id).otherwise(other_id)
     attributes = F.transform(
-        listed,
+        F.when(F.col("__whole"), listed).otherwise(other_listed),
         lambda a: F.struct(
             F.nullif(first_present(a["@harmonized_name"], a["@attribute_name"]), F.lit("")).alias(
                 "field"
@@ -76,6 +80,22 @@ def parse_records(df: DataFrame, raw: str = "raw", file_id: str | None = None) -
     )
 
 
+def _opens(text: Column) -> Column:
+    return F.ltrim(F.translate(text, "\n\r\t", "   ")).startswith("{")
+
+
+def _lenient(text: Column) -> tuple[Column, Column, Column]:
+    """Id, attributes and whether it is one object, by a parser that takes repeated names (the last counts) and NaN."""
+    record = F.from_json(text, _RECORD_SCHEMA, _STRICT)
+    # The parser stops at the end of the first value: whatever follows would spoil one of these.
+    in_list = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    in_object = F.from_json(F.concat(F.lit('{"r":'), text, F.lit("}")), "r string", _STRICT)
+    whole = F.coalesce(F.size(in_list) == 1, F.lit(False)) & in_object["r"].isNotNull() & _opens(text)
+    # No attributes may be written as an empty text, list or object too.
+    inner = F.get_json_object(record["Attributes"], "$.Attribute")
+    return record["@accession"], F.from_json(as_json_array(inner), _ATTRIBUTE_SCHEMA, _STRICT), whole
+
+
 def good_records(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("problem").isNull()).drop("problem")
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.constants import CATEGORY_SCHEME, HOST_NAMES
 from tagloom.functions import text as fn
 from tagloom.functions.arrays import starts_from_lengths, unnest
 from tagloom.functions.values import ColumnOrName, as_column, ontology_terms
-from tagloom.operators.joins import lookup_join
+from tagloom.operators.joins import fits, lookup_join
 from tagloom.operators.sieve import sieve
+from tagloom.operators.terms import TermTrie, cut
+
+#: Terms, and bytes of them, that are sent to every task; and mentions that leave it in one batch, about.
+TRIE_TERMS, TRIE_BYTES, BATCH_MENTIONS = 1_000_000, 32 * 1024 * 1024, 65_536
 
 
 def category_scheme(spark: SparkSession) -> DataFrame:
@@ -101,10 +107,57 @@ def tag_entities(
     """Mentions of listed terms in text: sample_id, term, label, start, end (in characters).
 
     Terms are cut into words like the texts and compared in lower case, whatever stands between the
-    words; they may have any number of words. A term without any is never found. Texts are
-    cut into words with their offsets inside the row; only runs that begin like a listed term, with
-    their offsets, leave it.
+    words; they may have any number of words. A term without any is never found. A list of measured size goes to
+    every task, which walks its words as a trie over each text; nothing is shuffled. Of a longer list the texts are
+    cut into words with their offsets inside the row, and only runs that begin like a listed term, with
+    their offsets, leave it to be joined.
     """
+    pairs = gazetteer.select(F.lower(as_column(term)).alias("term"), as_column(label).alias("label"))
+    if fits(pairs, TRIE_TERMS, TRIE_BYTES):
+        return _tag_by_trie(df, sample_id, text, pairs.distinct())
+    return _tag_by_join(df, sample_id, text, gazetteer, term, label)
+
+
+def listed_terms(pairs: DataFrame) -> tuple[TermTrie, list[Row]]:
+    """A trie of the (term, label) rows and the rows by their number. The caller has measured them."""
+    rows = sorted((r for r in pairs.collect() if r["term"] is not None), key=lambda r: (r["term"], r["label"] or ""))
+    return TermTrie((cut(r["term"])[0], i) for i, r in enumerate(rows)), rows
+
+
+def _tag_by_trie(df: DataFrame, sample_id: str, text: str, pairs: DataFrame) -> DataFrame:
+    trie, rows = listed_terms(pairs)
+    shared = df.sparkSession.sparkContext.broadcast(trie)
+    texts = df.select(as_column(sample_id).alias("sample_id"), as_column(text).alias("text"))
+    terms, labels = pa.array([r["term"] for r in rows], pa.string()), pa.array([r["label"] for r in rows], pa.string())
+    schema = T.StructType([texts.schema["sample_id"]])
+    schema = schema.add("term", "string").add("label", "string").add("start", "integer").add("end", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = shared.value.find
+        for batch in batches:
+            row, number, start, end = [], [], [], []
+            for at, value in enumerate(batch.column("text")):
+                if len(row) >= BATCH_MENTIONS:
+                    yield _mentions(batch, row, number, start, end, terms, labels, schema.names)
+                    row, number, start, end = [], [], [], []
+                words, begins, ends = cut(value.as_py() or "")
+                for first, last, found in find(words):
+                    row.append(at)
+                    number.append(found)
+                    start.append(begins[first])
+                    end.append(ends[last])
+            yield _mentions(batch, row, number, start, end, terms, labels, schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _mentions(batch, row, number, start, end, terms, labels, names) -> pa.RecordBatch:
+    which = pa.array(number, pa.int64())
+    columns = [batch.column("sample_id").take(pa.array(row, pa.int64())), terms.take(which), labels.take(which)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(start, pa.int32()), pa.array(end, pa.int32())], names)
+
+
+def _tag_by_join(df: DataFrame, sample_id: str, text: str, gazetteer: DataFrame, term: str, label: str) -> DataFrame:
     listed = (
         gazetteer.select(F.lower(as_column(term)).alias("term"), as_column(label).alias("label"))
         .distinct()

@@ -35,9 +35,7 @@ class Tagger:
         # equal tags get equal scores, so each is scored once
         distinct = tags.select("value").distinct()
         vectors = self.model.transform(distinct, "value", "v").withColumn("v", vector_to_array("v"))
-        best = cf.tag_scores(vectors, "v", self.centroids, self.label).select(
-            "value", cf.best_score().alias("best")
-        )
+        best = cf.best_classes(vectors, "v", self.centroids, self.label).select("value", "best")
         voted = lookup_join(tags, best, ["value"], keep=True).select(
             "sample_id",
             F.col("best.label").alias("predicted"),

@@ -6,6 +6,7 @@ from tagloom.queries import (  # noqa: F401  (importing a module registers its q
     features,
     functions,
     joins,
+    learned,
     models,
     sampling,
     sources,

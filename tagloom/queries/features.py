@@ -153,7 +153,7 @@ def few_shot_tag_classifier(spark: SparkSession, sf: str) -> DataFrame:
     examples = model.transform(ev.tags_by_class(docs, "lang", "text"), "text", "v")
     centres = cf.class_centroids(examples.withColumn("v", vector_to_array("v")), "lang", "v")
     tags = model.transform(docs, "text", "v").withColumn("v", vector_to_array("v"))
-    scored = cf.tag_scores(tags, "v", centres, "lang").withColumn("best", cf.best_score())
+    scored = cf.best_classes(tags.select("doc_id", "v"), "v", centres, "lang")
     return scored.select(
         "doc_id", F.col("best.label").alias("predicted"), F.round("best.score", 6).alias("score")
     )

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -182,11 +183,64 @@ def test_robust_scale_keeps_features_without_range(spark):
     assert values[75][0] - values[25][0] == pytest.approx(1, abs=0.05)
 
 
-def test_naive_bayes_by_words(spark):
-    train = spark.createDataFrame([("pig farm", "Swine"), ("pig gut", "Swine"), ("human blood", "Human"), ("human stool", "Human")], "t string, l string")
-    test = spark.createDataFrame([("pig blood pig",), ("human",)], "t string")
-    got = {r.t: r.predicted for r in classify.naive_bayes(train, test, "t", "l").collect()}
-    assert got == {"pig blood pig": "Swine", "human": "Human"}
+def by_hand_bayes(train, test):
+    """Multinomial Naive Bayes with every word of every class."""
+    cut = lambda t: re.findall(r"\w{2,}", (t or "").lower())
+    known = [(cut(t), lab) for _, t, lab in train if lab is not None]
+    vocabulary = {w for ws, _ in known for w in ws}
+    labels = sorted({lab for _, lab in known})
+    out = {}
+    for i, t, _ in test:
+        scores = []
+        for lab in labels:
+            own = Counter(w for ws, x in known if x == lab for w in ws)
+            score = math.log(sum(x == lab for _, x in known) / len(known))
+            score += sum(math.log((own[w] + 1) / (sum(own.values()) + len(vocabulary))) for w in cut(t) if w in vocabulary)
+            scores.append((-round(score, 9), lab))
+        out[i] = min(scores)[1]
+    return out
+
+
+def test_naive_bayes_against_every_class(spark):
+    rng = random.Random(4)
+    def text(k):
+        return " ".join(rng.choice([f"own{k}x{rng.randrange(4)}", f"all{rng.randrange(9)}", "new" + str(rng.randrange(99))]) for _ in range(rng.randrange(7)))
+    train = [(i, text(i % 40), f"class{min(i % 40, rng.randrange(40)):02d}") for i in range(300)] + [(900, "own1x1", None), (901, None, "class07"), (902, "", "rare")]
+    test = [(1000 + i, text(rng.randrange(50)), None) for i in range(150)] + [(5000, None, None), (5001, "", None), (5002, "unheard of", None)]
+    frames = [spark.createDataFrame(rows, "id int, t string, l string").repartition(3) for rows in (train, test)]
+    found = classify.naive_bayes(*frames, "t", "l", "id", stop_words=())
+    assert found.columns == ["id", "t", "l", "predicted"]
+    assert {r.id: r.predicted for r in found.collect()} == by_hand_bayes(train, test)
+    # judged again on texts that come later
+    model = classify.fit_naive_bayes(frames[0], "t", "l", ())
+    later = spark.createDataFrame([(1, "own3x1 own3x2 own3x0"), (2, "own5x1 own5x2 own5x3")], "id int, t string")
+    assert len(classify.classify_naive_bayes(later, "t", model, "id").collect()) == 2
+    assert classify.classify_naive_bayes(later.limit(0), "t", model, "id").count() == 0
+
+
+def test_twenty_thousand_classes(spark, monkeypatch):
+    """More classes than fit in one block: the best one is found all the same."""
+    monkeypatch.setattr(classify, "CLASS_NUMBERS", 60_000)
+    rng = np.random.default_rng(0)
+    means = rng.normal(size=(20_000, 8))
+    centroids = vectors.l2_normalize(
+        spark.createDataFrame([(f"c{i:05d}", m.tolist()) for i, m in enumerate(means)], "label string, centroid array<double>"), "centroid"
+    )
+    tags = spark.createDataFrame([(i, (means[i * 97] * 3).tolist()) for i in range(200)] + [(999, None)], "id int, v array<double>")
+    best = {r.id: r.best for r in classify.best_classes(tags, "v", centroids, "label").collect()}
+    assert best.pop(999) is None
+    assert {i: b.label for i, b in best.items()} == {i: f"c{i * 97:05d}" for i in range(200)}
+    assert all(b.score == pytest.approx(1) for b in best.values())
+
+
+def test_best_class_and_all_scores(spark):
+    centroids = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "label string, centroid array<double>")
+    tags = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [0.0, 0.0]), (4, None)], "id int, v array<double>")
+    best = {r.id: r.best for r in classify.best_classes(tags, "v", centroids, "label").collect()}
+    assert {i: b and (b.label, b.score) for i, b in best.items()} == {1: ("a", 1.0), 2: ("c", 1.0), 3: ("a", 0.0), 4: None}
+    scores = {r.id: [(s.label, s.score) for s in r.scores] for r in classify.tag_scores(tags, "v", centroids, "label").collect()}
+    assert scores[1] == [("a", 1.0), ("b", 1.0), ("c", 0.0)] and scores[4] == []
+    assert classify.best_classes(tags, "v", centroids.limit(0), "label").filter("best IS NOT NULL").count() == 0
 
 
 def test_best_score_takes_the_first_of_equals(spark):

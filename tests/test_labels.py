@@ -1,5 +1,6 @@
 import contextlib
 import datetime as dt
+import decimal
 import io
 import random
 
@@ -81,8 +82,11 @@ def test_fits_counts_rows_and_bytes(spark):
 
 
 KEYS = {
-    "double": lambda rng: rng.choice([rng.random(), 0.5, 0.25, None]),
-    "string": lambda rng: rng.choice([f"SAMN{rng.randrange(9999):04d}", "", None, "SAMN0001"]),
+    "double": lambda rng: rng.choice([rng.random() * 10 ** rng.randrange(-9, 9), -rng.random(), 0.0, 0.25, float("inf"), -float("inf"), None]),
+    "decimal(9,3)": lambda rng: rng.choice([decimal.Decimal(rng.randrange(-999, 999)) / 100, None]),
+    "timestamp": lambda rng: dt.datetime(1960, 1, 1) + dt.timedelta(seconds=rng.randrange(10**9)),
+    "boolean": lambda rng: rng.choice([True, False, None]),
+    "string": lambda rng: rng.choice([f"SAMN{rng.randrange(9999):04d}", "", None, "SAMN0001", "SAMN00010", "SAMN0001é", "ä"]),
     "date": lambda rng: rng.choice([dt.date(2020, 1, 1) + dt.timedelta(rng.randrange(400)), None]),
     "int": lambda rng: 7,
 }
@@ -95,9 +99,9 @@ def test_first_rows_equal_a_sort(spark, monkeypatch, kind):
     rows += rows[:100]  # some rows three times over
     df = spark.createDataFrame(rows, f"id int, k {kind}").repartition(7)
     in_order = sorted(rows, key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0]))
-    monkeypatch.setattr(order, "BORDERS", 5)
-    for size in (20, 10_000):
+    for size, error in ((20, order.RANK_ERROR), (20, 1e-9), (10_000, order.RANK_ERROR)):
         monkeypatch.setattr(order, "SORTED_ROWS", size)
+        monkeypatch.setattr(order, "RANK_ERROR", error)  # far too small: borders must be moved apart
         for n in (0, 1, 150, 1099, 1100, 5000):
             want = sorted(in_order[:n], key=str)
             assert sorted(map(tuple, order.first_rows(df, F.col("k"), n, "id").collect()), key=str) == want

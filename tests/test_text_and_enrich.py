@@ -1,7 +1,9 @@
 import re
 
+import pytest
+
 from tagloom.constants import CATEGORY_SCHEME
-from tagloom.operators import enrich, sieve, text
+from tagloom.operators import enrich, sieve, terms, text
 
 
 def test_assemble_skips_missing_fields(spark):
@@ -60,8 +62,15 @@ def test_places_keep_own_values(spark):
     assert rows == {1: (48.0, 2.2), 2: (46.2, 2.2), 3: (None, None)}
 
 
-def test_mentions_against_brute_force(spark):
-    terms = [("fever", "SIGN"), ("yellow fever", "DISEASE"), ("río grande", "PLACE"), ("of the nile", "PLACE")]
+@pytest.fixture(params=["trie", "join"])
+def tagging(request, monkeypatch):
+    """Both ways to find listed terms."""
+    if request.param == "join":
+        monkeypatch.setattr(enrich, "TRIE_TERMS", -1)
+
+
+def test_mentions_against_brute_force(spark, tagging):
+    listed = [("fever", "SIGN"), ("yellow fever", "DISEASE"), ("río grande", "PLACE"), ("of the nile", "PLACE")]
     texts = [
         "Yellow  fever; yellow fever, FEVER.",
         "Río Grande — río\ngrande of the Nile",
@@ -70,7 +79,7 @@ def test_mentions_against_brute_force(spark):
         "…fever",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    gaz = spark.createDataFrame(terms, "term string, label string")
+    gaz = spark.createDataFrame(listed, "term string, label string")
     got = {tuple(r) for r in enrich.tag_entities(docs, "id", "t", gaz).collect()}
     want = set()
     for i, t in enumerate(texts):
@@ -78,14 +87,14 @@ def test_mentions_against_brute_force(spark):
         for n in (1, 2, 3):
             for j in range(len(words) - n + 1):
                 run = " ".join(w[0] for w in words[j : j + n])
-                want |= {(i, run, lab, words[j][1], words[j + n - 1][2]) for term, lab in terms if term == run}
+                want |= {(i, run, lab, words[j][1], words[j + n - 1][2]) for term, lab in listed if term == run}
     assert got == want and len(got) >= 7
 
 
-def test_terms_with_marks_and_many_words(spark):
-    terms = ["ready-to-eat food", "Soil/Dust", "food", "one two three four five", "...", "soil dust"]
+def test_terms_with_marks_and_many_words(spark, tagging):
+    listed = ["ready-to-eat food", "Soil/Dust", "food", "one two three four five", "...", "soil dust"]
     docs = spark.createDataFrame([(1, "Ready to eat food, soil / dust."), (2, "one two, three four-five"), (3, None)], "id int, t string")
-    gaz = spark.createDataFrame([(t, "X") for t in terms], "term string, label string")
+    gaz = spark.createDataFrame([(t, "X") for t in listed], "term string, label string")
     got = {(r.sample_id, r.term, r.start, r.end) for r in enrich.tag_entities(docs, "id", "t", gaz).collect()}
     assert got == {
         (1, "ready-to-eat food", 0, 17), (1, "food", 13, 17), (1, "soil/dust", 19, 30), (1, "soil dust", 19, 30),
@@ -96,7 +105,25 @@ def test_terms_with_marks_and_many_words(spark):
 
 def test_a_long_list_fills_the_sieve(spark, monkeypatch):
     monkeypatch.setattr(sieve, "BITS", 1 << 10)  # 8,000 first words fill it
+    monkeypatch.setattr(enrich, "TRIE_TERMS", 100)
     words = [f"w{i}" for i in range(8_000)]
     gaz = spark.createDataFrame([(f"{w} end", "X") for w in words], "term string, label string")
     docs = spark.createDataFrame([(1, "w17 end w18 other w7999 end v1 end")], "id int, t string")
     assert {r.term for r in enrich.tag_entities(docs, "id", "t", gaz).collect()} == {"w17 end", "w7999 end"}
+
+
+def test_trie_finds_every_mention_and_the_longest():
+    trie = terms.TermTrie([(["a", "b"], 0), (["a"], 1), (["b", "c", "d"], 2), (["a", "b"], 3), ([], 4)])
+    words = "a b c d a b".split()
+    assert sorted(trie.find(words)) == [(0, 0, 1), (0, 1, 0), (0, 1, 3), (1, 3, 2), (4, 4, 1), (4, 5, 0), (4, 5, 3)]
+    assert terms.longest(trie.find(words)) == [(0, 1, 0), (4, 5, 0)]
+    assert list(trie.find([])) == [] and terms.cut("Río  GRANDE-2") == (["río", "grande", "2"], [0, 5, 12], [3, 11, 13])
+
+
+def test_many_mentions_leave_in_batches(spark, monkeypatch, tagging):
+    monkeypatch.setattr(enrich, "BATCH_MENTIONS", 10)
+    docs = spark.createDataFrame([(i, "x y " * (i % 30)) for i in range(200)], "id long, t string")
+    gaz = spark.createDataFrame([("x", "A"), ("x", "B"), ("y x", None), (None, "C")], "term string, label string")
+    rows = enrich.tag_entities(docs, "id", "t", gaz).collect()
+    want = sum(2 * (i % 30) + max(0, i % 30 - 1) for i in range(200))
+    assert len(rows) == want and {r.label for r in rows} == {"A", "B", None}
