@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.groups import components
@@ -24,15 +24,17 @@ PIVOTS, NEAREST = 128, 6
 BLOCK = 1024
 
 
+def is_usable(dimensions: int) -> Column:
+    """Whether a row (id, v) can be linked: finite components, not all zero, of the right number, and an id."""
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    whole = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") == dimensions)
+    return F.coalesce(whole & fine & F.exists("v", lambda x: x != 0), F.lit(False))
+
+
 def usable(vectors: DataFrame, id_column: str, column: str, dimensions: int) -> DataFrame:
     """Rows (id, v) with finite components, not all zero, of the right number; v is an array of doubles."""
-    v = F.col(column).cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return (
-        vectors.select(F.col(id_column).alias("id"), v.alias("v"))
-        .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") == dimensions))
-        .filter(fine & F.exists("v", lambda x: x != 0))
-    )
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("v"))
+    return rows.filter(is_usable(dimensions))
 
 
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
@@ -157,7 +159,7 @@ def near_vectors(
     )
     rows = vectors.select(out, F.col(column).cast("array<double>").alias("v"))
     each = found.withColumn("twin", F.xxhash64("v")).join(own.withColumn("twin", F.xxhash64("v")), ["twin", "v"]).select("id", "n_links", "component_id")
-    rest = rows.join(found.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    rest = rows.filter(~is_usable(dimensions)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return each.union(rest).select(
         F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )

@@ -76,21 +76,24 @@ def remove_lines(
     keep_first: bool = True,
     names: tuple[str, str] = ("n_lines", "n_removed"),
 ) -> DataFrame:
-    """Texts without cross-site boilerplate lines: the columns of ``docs``, n_lines and n_removed (or ``names``).
+    """Texts without cross-site boilerplate lines: the columns of ``docs``, n_lines and n_removed (or ``names``),
+    which take the place of columns with those names.
 
     A text's other lines stay as they are. Null texts stay null, with 0 lines; a text all of whose lines
     go is left empty. White space at a line's ends doesn't matter, blank lines always stay, and so do all lines
     of rows with a null doc_id. Rows with the same doc_id lose the lines at the same places. A table of
     no rows gives none. Needs doc_id, text and the site column.
     """
-    places = boilerplate(docs, min_sites, site, keep_first).select(F.col("doc_id").alias("_id"), F.col("places").alias("_places"))
+    own = [c for c in docs.columns if c not in names]
+    inner = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in own]).alias("row"))
+    places = boilerplate(docs.select("doc_id", "text", site), min_sites, site, keep_first)
     # The places grow with the documents, so both sides are dealt by id whatever their size.
-    joined = docs.hint("merge").join(places, docs["doc_id"] == F.col("_id"), "left")
+    joined = inner.hint("merge").join(places, "doc_id", "left")
     cut = F.split("text", "\n")
-    left = F.array_join(F.filter(cut, lambda line, at: ~F.array_contains("_places", at)), "\n")
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(left)
+    left = F.array_join(F.filter(cut, lambda line, at: ~F.array_contains("places", at)), "\n")
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(left)
     return joined.select(
-        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
+        *[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in own],
         F.greatest(F.coalesce(F.size(cut), F.lit(0)), F.lit(0)).alias(names[0]),
-        F.coalesce(F.size("_places"), F.lit(0)).alias(names[1]),
+        F.coalesce(F.size("places"), F.lit(0)).alias(names[1]),
     )

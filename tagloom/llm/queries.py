@@ -51,8 +51,9 @@ def tokenizer_path() -> str:
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every text, learned from three quarters of the labelled documents."""
     docs = table(spark, sf, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    prototypes = languages.learn(docs.filter(F.coalesce(~held_out, F.lit(False))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    # A row without an id is not held out, nor learned from.
+    prototypes = languages.learn(docs.filter(~held_out & F.col("doc_id").isNotNull()))
     found = languages.identify(docs, prototypes)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

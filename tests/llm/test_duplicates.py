@@ -244,6 +244,15 @@ def test_near_vectors(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found.values())
 
 
+def test_rows_of_one_id_are_all_returned(spark):
+    """One id with a usable and an unusable vector, and twice the same: a row for each row."""
+    rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 0.0]), (2, [1.0, 0.001]), (2, [1.0, 0.001]), (None, [1.0, 0.0]), (None, None), (3, [float("nan"), 1.0])]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=2).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found), key=str)
+    want = [(1, 2, 1, True), (1, 0, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 2, 1, False), (None, 0, None, True), (None, 0, None, True), (3, 0, 3, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_large_vector_lists_are_cut(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in np.array([1.0, 1, 1, 1]) + rng.normal(size=4) * 0.02]) for i in range(60)]

@@ -66,10 +66,15 @@ def test_line_removal(spark, no_documents):
                 gone.add(p)
         left = t if not gone else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
         want.append((i, left, 0 if t is None else len(t.split("\n")), len(gone)))
-    found = lines.remove_lines(table.drop("n_removed")).select("doc_id", "text", "n_lines", "n_removed").collect()
+    removed = lines.remove_lines(table)
+    assert removed.columns == ["doc_id", "source", "text", "line", "n_lines", "n_removed"]
+    found = removed.select("doc_id", "text", "n_lines", "n_removed").collect()
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
     assert lines.remove_lines(no_documents).count() == 0
-    all_gone = {r["doc_id"]: r["text"] for r in lines.remove_lines(table.drop("n_removed"), keep_first=False).collect()}
+    clashing = table.withColumns({c: F.lit(1) for c in ("n_lines", "row", "places", "site", "place", "first", "about")})
+    again = lines.remove_lines(clashing).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(tuple, again), key=str) == sorted(want, key=str)
+    all_gone = {r["doc_id"]: r["text"] for r in lines.remove_lines(table, keep_first=False).collect()}
     assert all_gone[103] == ""
 
 
