@@ -47,10 +47,10 @@ def render_map(attrs: ColumnOrName, separator: str = ",") -> Column:
     return F.array_join(shown, separator)
 
 
-def prompt(rendered: ColumnOrName, categories: Iterable[str]) -> Column:
-    """Instruction, category list, separator and the rendered record."""
-    head = PROMPT_HEAD + ",".join(categories) + "\n" + PROMPT_SEPARATOR + "\n"
-    return F.concat(F.lit(head), as_column(rendered), F.lit("."))
+def prompt(rendered: ColumnOrName, categories: Iterable[str] | Column) -> Column:
+    """Instruction, category list, separator and the rendered record. A column holds the list as one text."""
+    listed = categories if isinstance(categories, Column) else F.lit(",".join(categories))
+    return F.concat(F.lit(PROMPT_HEAD), listed, F.lit("\n" + PROMPT_SEPARATOR + "\n"), as_column(rendered), F.lit("."))
 
 
 def record_prompt(raw: ColumnOrName, template: str) -> Column:

@@ -6,9 +6,10 @@ case in real data and cannot all be columns. The wide form has the fields asked
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tagloom.constants import CORE_FIELDS, FIELD_PREFIX, NULL_MARKERS, SOURCE_FIELDS
@@ -220,7 +221,20 @@ def to_map(df: DataFrame, columns: Sequence[str], name: str = "attrs") -> DataFr
 def to_long(
     df: DataFrame, sample_id: str, columns: Sequence[str], keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Put wide columns below each other; null cells are left out. Columns in ``keep`` stay."""
+    """Put wide columns below each other; null cells are left out. Columns in ``keep`` stay.
+
+    Columns are taken by their exact name, also where another differs from it only in case.
+    """
+    if len({c.lower() for c in df.columns}) < len(df.columns):
+        # names that are clear whatever the session does with case
+        places = [df.columns.index(c) for c in (sample_id, *columns, *keep)]
+        plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        wide = F.array(
+            *[F.struct(F.lit(c).alias("field"), F.col(f"c{i}").cast("string").alias("value")) for c, i in zip(columns, places[1:], strict=False)]
+        )
+        kept = [f"c{i}" for i in places[1 + len(columns) :]]
+        long = unnest(plain, wide, [F.col(f"c{places[0]}").alias("sample_id"), *kept], "cell", "pos").filter("cell.value IS NOT NULL")
+        return long.select("sample_id", *[F.col(c).alias(k) for c, k in zip(kept, keep, strict=True)], "pos", "cell.field", "cell.value")
     cells = F.array(
         *[F.struct(F.lit(c).alias("field"), as_column(c).cast("string").alias("value")) for c in columns]
     )
@@ -238,6 +252,22 @@ def core_columns(
     return df.select(as_column(sample_id), *[as_column(f) for f in fields])
 
 
+class Watched:
+    """Frames whose rows are counted while a job goes over them anyway; see :func:`watch`."""
+
+    def __init__(self):
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        """The same frame; its rows are counted by the first action that reads all of them."""
+        self._seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return df.observe(self._seen[name], F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> dict[str, int]:
+        """Rows per name. Waits for the action, so call it after one. (A frame that was cut short counts what was read.)"""
+        return {name: seen.get["rows"] for name, seen in self._seen.items()}
+
+
 def row_counts(**frames: DataFrame) -> DataFrame:
     """Number of rows per named frame."""
     counted = [

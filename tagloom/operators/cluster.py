@@ -25,26 +25,33 @@ def kmeans(
     name: str = "cluster",
     max_iter: int = 300,
 ) -> DataFrame:
-    """Adds the cluster number. Give it a cached frame: fitting reads the vectors many times."""
-    prepared = df.withColumn("__features", as_ml_vector(vector))
-    model = KMeans(
-        k=k, seed=seed, initMode="k-means||", maxIter=max_iter,
-        featuresCol="__features", predictionCol=name,
-    ).fit(prepared)
-    return model.transform(prepared).drop("__features")
+    """Adds the cluster number. Only the vectors are cached, and only while the centres are fitted."""
+    points = df.select(as_ml_vector(vector).alias("__features")).persist()
+    try:
+        model = KMeans(
+            k=k, seed=seed, initMode="k-means||", maxIter=max_iter,
+            featuresCol="__features", predictionCol=name,
+        ).fit(points)
+    finally:
+        points.unpersist()
+    return model.transform(df.withColumn("__features", as_ml_vector(vector))).drop("__features")
 
 
 def pca_2d(df: DataFrame, vector: str, name: str = "pca") -> DataFrame:
     """Adds the first two principal components of the centred vectors."""
-    prepared = df.withColumn("__features", as_ml_vector(vector))
-    model = PCA(k=2, inputCol="__features", outputCol="__projected").fit(prepared)
-    mean = prepared.agg(Summarizer.mean(F.col("__features")).alias("m")).first()["m"]
+    points = df.select(as_ml_vector(vector).alias("__features")).persist()
+    try:
+        model = PCA(k=2, inputCol="__features", outputCol="__projected").fit(points)
+        mean = points.agg(Summarizer.mean(F.col("__features")).alias("m")).first()["m"]
+    finally:
+        points.unpersist()
     # the model projects without centring, so the projected mean is taken off afterwards
     shift = model.pc.toArray().T @ mean.toArray()
     centred = fn.difference(
         vector_to_array("__projected"), F.array(*[F.lit(float(x)) for x in shift])
     )
-    return model.transform(prepared).withColumn(name, centred).drop("__features", "__projected")
+    prepared = model.transform(df.withColumn("__features", as_ml_vector(vector)))
+    return prepared.withColumn(name, centred).drop("__features", "__projected")
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -131,7 +138,7 @@ def cluster_all_methods(
     """Adds ``{method}_cluster`` and ``{method}_pca`` for every vector column."""
     out = df
     for method in methods:
-        scaled = out.withColumn("__unit", fn.unit(method)).persist()
+        scaled = out.withColumn("__unit", fn.unit(method))
         placed = kmeans(scaled, "__unit", k, seed, f"{method}_cluster", max_iter)
         out = pca_2d(placed, "__unit", f"{method}_pca").drop("__unit")
     return out

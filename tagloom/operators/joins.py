@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import stored
+
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.001
@@ -52,7 +54,7 @@ def lookup_join(
     """
     on = list(on)
     if keep:
-        right = right.persist()
+        right = stored(right, "lookup")
     if fits(right if measured is None else measured, max_rows, max_bytes):
         return left.join(F.broadcast(right), on, how)
     return spread_join(left, right, on, how)

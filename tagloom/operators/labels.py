@@ -18,6 +18,7 @@ from tagloom.functions.hashing import stable_hash, uniform
 from tagloom.functions.values import as_column
 from tagloom.operators.joins import lookup_join
 from tagloom.operators.order import first_rows, first_rows_flag, numbered
+from tagloom.session import stored
 
 
 def labelled_only(
@@ -62,7 +63,7 @@ def restrict_to_ids(
     """Rows whose id is on the list."""
     listed = ids.select(as_column(sample_id))
     if keep:
-        listed = listed.persist()
+        listed = stored(listed, "ids")
     return lookup_join(df, listed.distinct(), [sample_id], "left_semi", measured=listed)
 
 

@@ -31,14 +31,23 @@ def drop_empty_text(df: DataFrame, text: str = "text") -> DataFrame:
 def build_prompts(
     df: DataFrame,
     fields: Sequence[str],
-    categories: Iterable[str],
+    categories: Iterable[str] | DataFrame,
     sample_id: str = "sample_id",
 ) -> DataFrame:
-    """One prompt per record: instruction, categories and the record's fields."""
-    return df.select(
-        as_column(sample_id).alias("sample_id"),
-        fn.prompt(fn.render_pairs(list(fields)), categories).alias("prompt"),
+    """One prompt per record: instruction, categories and the record's fields.
+
+    Categories may be the first column of a frame; they are then put in order and joined by Spark, as many as there
+    are, and each only once.
+    """
+    rendered = fn.render_pairs(list(fields))
+    if not isinstance(categories, DataFrame):
+        return df.select(as_column(sample_id).alias("sample_id"), fn.prompt(rendered, categories).alias("prompt"))
+    names = F.array_join(F.array_sort(F.collect_set(as_column(categories.columns[0]).cast("string"))), ",")
+    # one row with the text that every prompt holds
+    shown = df.select(as_column(sample_id).alias("sample_id"), rendered.alias("__rendered")).join(
+        F.broadcast(categories.agg(names.alias("__categories")))
     )
+    return shown.select("sample_id", fn.prompt("__rendered", F.col("__categories")).alias("prompt"))
 
 
 def extract_category(
@@ -94,6 +103,54 @@ def lemmatise(tokens: DataFrame, lemmas: DataFrame, token: str = "token") -> Dat
     )
 
 
+def learn_lemma_rules(
+    lemmas: DataFrame, token: str = "token", lemma: str = "lemma", longest: int = 5, min_tokens: int = 2, min_share: float = 0.5
+) -> DataFrame:
+    """Endings and what takes their place: (suffix, length, replacement, tokens, share).
+
+    Every ending of a token of up to ``longest`` characters, with something before it that the lemma has too, is an
+    example of its replacement by the rest of the lemma. An ending is a rule if its most frequent replacement (of equal ones
+    the first in order) holds for ``min_tokens`` tokens, and for ``min_share`` of all tokens that end so.
+    """
+    pairs = lemmas.select(as_column(token).alias("token"), as_column(lemma).alias("lemma")).dropna().distinct()
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.lit(longest)),
+        lambda n: F.struct(
+            n.alias("length"),
+            F.when(F.length("token") > n, F.right("token", n)).alias("suffix"),
+            F.when(
+                F.left("token", F.length("token") - n) == F.left("lemma", F.length("token") - n),
+                F.substr("lemma", F.length("token") - n + 1),
+            ).alias("replacement"),
+        ),
+    )
+    seen = unnest(pairs, F.filter(cuts, lambda c: c["suffix"].isNotNull()), [], "cut").select("cut.*")
+    counted = seen.groupBy("suffix", "length", "replacement").agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("replacement").isNotNull(), F.struct((-F.col("n")).alias("n"), "replacement"))
+    best = counted.groupBy("suffix", "length").agg(F.sum("n").alias("all"), F.min(known).alias("best"))
+    tokens = (-F.col("best.n")).alias("tokens")
+    rules = best.filter("best IS NOT NULL").select("suffix", "length", "best.replacement", tokens, (-F.col("best.n") / F.col("all")).alias("share"))
+    return rules.filter((F.col("tokens") >= min_tokens) & (F.col("share") >= min_share))
+
+
+def lemmatise_by_rules(
+    tokens: DataFrame, lemmas: DataFrame, rules: DataFrame, token: str = "token", longest: int = 5
+) -> DataFrame:
+    """Replace tokens by their lemma: the one in the (token, lemma) table, else by the rule for the longest ending, else
+    they stay. Each different token is looked up once."""
+    distinct = tokens.select(as_column(token).alias("token")).filter("token IS NOT NULL").distinct()
+    endings = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.length("token") > n, F.right("token", n)))
+    met = lookup_join(unnest(distinct, endings, ["token"], "suffix"), rules.select("suffix", "length", "replacement"), ["suffix"], keep=True)
+    stem = F.concat(F.left("token", F.length("token") - F.col("length")), F.col("replacement"))
+    ruled = met.groupBy("token").agg(F.max_by(stem, "length").alias("__ruled"))
+    listed = lemmas.groupBy(as_column(token).alias("token")).agg(F.min("lemma").alias("__lemma"))
+    found = lookup_join(lookup_join(distinct, listed, ["token"], "left", keep=True), ruled, ["token"], "left", keep=True)
+    table = found.select("token", F.coalesce("__lemma", "__ruled", "token").alias("__lemma"))
+    named = table.withColumnRenamed("token", token)
+    joined = lookup_join(tokens, named, [token], "left", keep=True)
+    return joined.withColumn(token, F.col("__lemma")).select(*[as_column(c) for c in tokens.columns])
+
+
 def top_vocabulary(
     df: DataFrame, text: str, n: int, stop_words: Iterable[str] = ()
 ) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +53,7 @@ def tfidf_features(
     """Adds the cleaned text and its TF-IDF vector as an array."""
     with_text = tx.assemble_text(sample, fields, name="text")
     model = fit_tfidf(with_text, "text", stop_words, max_features)
-    return model.transform(with_text, "text", "tfidf").withColumn("tfidf", vector_to_array("tfidf"))
+    return model.arrays(with_text, "text", "tfidf")
 
 
 def cluster_report(

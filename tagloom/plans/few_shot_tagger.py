@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ class Tagger:
         tags = self.tags(records)
         # equal tags get equal scores, so each is scored once
         distinct = tags.select("value").distinct()
-        vectors = self.model.transform(distinct, "value", "v").withColumn("v", vector_to_array("v"))
+        vectors = self.model.arrays(distinct, "value", "v")
         best = cf.best_classes(vectors, "v", self.centroids, self.label).select("value", "best")
         voted = lookup_join(tags, best, ["value"], keep=True).select(
             "sample_id",
@@ -63,7 +62,7 @@ def train(
     long = labelled.select(F.col(label), F.explode_outer(cells).alias("value"))
     examples = ev.tags_by_class(long, label)
     model = fit_tfidf(examples, "value", stop_words, max_features, min_df=min_df, max_df=1.0)
-    vectors = model.transform(examples, "value", "v").withColumn("v", vector_to_array("v"))
+    vectors = model.arrays(examples, "value", "v")
     return Tagger(model, cf.class_centroids(vectors, label, "v"), tuple(fields), sample_id, label)
 
 

@@ -24,13 +24,15 @@ def prompts(
     fields: Sequence[str],
     seed: int = SAMPLE_SEED,
     markers: Iterable[str] = NULL_MARKERS,
+    position: str | None = None,
 ) -> DataFrame:
-    """Prompts for ``n`` labelled records: (sample_id, prompt)."""
-    usable = lb.labelled_only(labels)
+    """Prompts for ``n`` labelled records: (sample_id, prompt). Of repeated ids the last by ``position`` counts; without
+    that column there must be none."""
+    usable = lb.labelled_only(_last(labels, position))
     chosen = lb.uniform_sample(usable, n, "sample_id", seed)
     found = lb.restrict_to_ids(attributes, chosen, keep=True)
     cleaned = at.null_markers(found, fields, markers)
-    return tx.build_prompts(cleaned, fields, lb.class_list(usable, "source_type"))
+    return tx.build_prompts(cleaned, fields, lb.class_values(usable, "source_type"))
 
 
 def answer_pending(
@@ -48,9 +50,14 @@ def answer_pending(
     return cf.score_batches(payload, scorer, ["sample_id", "prompt"], partitions=partitions)
 
 
-def agreement(answers: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per answer: the category it names, the curated one, whether both are the same."""
-    usable = lb.labelled_only(labels)
+def _last(labels: DataFrame, position: str | None) -> DataFrame:
+    return lb.last_wins(labels, "sample_id", position) if position else labels
+
+
+def agreement(answers: DataFrame, labels: DataFrame, position: str | None = None) -> DataFrame:
+    """One row per answer: the category it names, the curated one, whether both are the same. The curated one is the
+    last by ``position``, or the largest of those with the same id if there is no such column."""
+    usable = lb.labelled_only(_last(labels, position))
     categories = lb.class_values(usable, "source_type")
     read = tx.extract_category(answers, "choices", categories, "source_type")
     truth = usable.groupBy("sample_id").agg(F.max("source_type").alias("label"))

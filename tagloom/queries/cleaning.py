@@ -123,7 +123,7 @@ SQL_PROMPT_HEAD = " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for
 """)
 def build_prompt(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return tx.build_prompts(docs, ["source", "n_chars"], lb.class_list(docs, "lang"), "doc_id")
+    return tx.build_prompts(docs, ["source", "n_chars"], lb.class_values(docs, "lang"), "doc_id")
 
 
 @query("SELECT event_id, props || chr(10) || chr(10) || 'Convert this.' AS prompt FROM events")

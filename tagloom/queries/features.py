@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import text as fn
 from tagloom.functions.arrays import unnest
+from tagloom.functions.hashing import stable_hash
 from tagloom.operators import classify as cf
 from tagloom.operators import evaluate as ev
 from tagloom.operators import labels as lb
@@ -26,6 +26,7 @@ from tagloom.queries.registry import (
     SQL_TOKENS,
     STOP_WORDS,
     query,
+    sql_hash,
     table,
     texts,
 )
@@ -80,6 +81,40 @@ def lemmatise(spark: SparkSession, sf: str) -> DataFrame:
     return tx.lemmatise(tokens.select(F.col("token").alias("form"), "token"), lemmas)
 
 
+@query(f"""
+    WITH tokens AS (SELECT DISTINCT unnest({SQL_TOKENS}) AS token FROM benchmark),
+    pairs AS (
+        SELECT token, CASE WHEN token LIKE '%s' AND left(token, length(token) - 1) IN (SELECT token FROM tokens)
+            THEN left(token, length(token) - 1) ELSE token END AS lemma
+        FROM tokens WHERE {sql_hash(0, 'token')} % 2 = 0
+    ), cuts AS (
+        SELECT right(token, n) AS suffix, n AS length,
+               CASE WHEN left(token, length(token) - n) = left(lemma, length(token) - n) THEN substr(lemma, length(token) - n + 1) END AS replacement
+        FROM pairs, range(1, 6) t(n) WHERE length(token) > n
+    ), counted AS (SELECT suffix, length, replacement, count(*) AS n FROM cuts GROUP BY ALL),
+    best AS (
+        SELECT suffix, length, replacement, n FROM (
+            SELECT *, sum(n) OVER (PARTITION BY suffix) AS total,
+                   row_number() OVER (PARTITION BY suffix ORDER BY replacement IS NULL, n DESC, replacement) AS r FROM counted)
+        WHERE r = 1 AND replacement IS NOT NULL AND n >= 2 AND n >= 0.5 * total
+    ), forms AS (SELECT DISTINCT unnest({SQL_TOKENS}) AS form FROM documents),
+    ruled AS (
+        SELECT form, left(form, length(form) - length) || replacement AS lemma FROM forms, range(1, 6) t(k), best
+        WHERE length(form) > k AND suffix = right(form, k)
+        QUALIFY row_number() OVER (PARTITION BY form ORDER BY length DESC) = 1
+    )
+    SELECT form, coalesce(p.lemma, r.lemma, form) AS token FROM forms LEFT JOIN pairs p ON p.token = form LEFT JOIN ruled r USING (form)
+""")
+def lemmatise_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    """Endings learned from half of the benchmark words, applied to all words of the documents."""
+    tokens = unnest(table(spark, sf, "benchmark"), fn.tokens("text"), [], "token").distinct()
+    stems = tokens.select(F.concat("token", F.lit("s")).alias("token"), F.col("token").alias("stem"))
+    pairs = tokens.join(stems, "token", "left").select("token", F.coalesce("stem", "token").alias("lemma"))
+    pairs = pairs.filter(stable_hash(0, "token") % 2 == 0)
+    forms = unnest(texts(spark, sf), fn.tokens("text"), [], "form").distinct().withColumn("token", F.col("form"))
+    return tx.lemmatise_by_rules(forms, pairs, tx.learn_lemma_rules(pairs))
+
+
 def _sql_embedding(vector: str, denominator: str) -> str:
     return f"""
         WITH counted AS ({SQL_COUNTED}), vectors AS (SELECT token, {vector} AS vector FROM ({SQL_TOKEN_TABLE})),
@@ -150,9 +185,9 @@ def few_shot_tag_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Every distinct text of a language is an example tag; all texts are scored."""
     docs = texts(spark, sf)
     model = ti.fit_tfidf(docs, "text", STOP_WORDS)
-    examples = model.transform(ev.tags_by_class(docs, "lang", "text"), "text", "v")
-    centres = cf.class_centroids(examples.withColumn("v", vector_to_array("v")), "lang", "v")
-    tags = model.transform(docs, "text", "v").withColumn("v", vector_to_array("v"))
+    examples = model.arrays(ev.tags_by_class(docs, "lang", "text"), "text", "v")
+    centres = cf.class_centroids(examples, "lang", "v")
+    tags = model.arrays(docs, "text", "v")
     scored = cf.best_classes(tags.select("doc_id", "v"), "v", centres, "lang")
     return scored.select(
         "doc_id", F.col("best.label").alias("predicted"), F.round("best.score", 6).alias("score")

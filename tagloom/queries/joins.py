@@ -219,10 +219,10 @@ def tag_entities(spark: SparkSession, sf: str) -> DataFrame:
     ), terms AS (
         SELECT DISTINCT h[i] || '-' || h[i + 1] || '/' || h[i + 2] || ' ' || h[i + 3] AS term,
                h[i] || ' ' || h[i + 1] || ' ' || h[i + 2] || ' ' || h[i + 3] AS run
-        FROM listed, range(1, 400) t(i) WHERE i + 3 <= len(h)
+        FROM listed, range(1, len(h)) t(i) WHERE i + 3 <= len(h)
     ), found AS (
         SELECT doc_id, h[i] || ' ' || h[i + 1] || ' ' || h[i + 2] || ' ' || h[i + 3] AS run
-        FROM words, range(1, 20000) t(i) WHERE i + 3 <= len(h)
+        FROM words, range(1, len(h)) t(i) WHERE i + 3 <= len(h)
     )
     SELECT doc_id AS sample_id, term, count(*) AS n FROM found JOIN terms USING (run) GROUP BY ALL
 """)

@@ -285,10 +285,36 @@ def stored_answers(spark: SparkSession, sf: str) -> DataFrame:
 def read_attributes_case(spark: SparkSession, sf: str) -> DataFrame:
     """A table with two columns whose names differ only in case."""
     path = scratch_path(spark, "names")
-    rows = table(spark, sf, "supplier").select(F.concat_ws(",", "s_name", F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")).alias("value"))
-    head = spark.range(1).select(F.lit("sample_id,Species,species").alias("value"))
-    head.union(rows).coalesce(1).write.text(path)
+    rows = table(spark, sf, "supplier").select("s_name", F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string"))
+    # every part is written with the header, so the table may have any number of parts
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        rows.toDF("sample_id", "Species", "species").write.csv(path, header=True)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
     found = readers.read_attributes(spark, path)
     if found.columns != ["sample_id", "Species", "species"]:
         raise ValueError(found.columns)
     return found.toDF("sample_id", "upper_name", "lower_name")
+
+
+@query("""
+    SELECT s_name AS sample_id, (t.i - 1)::INTEGER AS pos, CASE i WHEN 1 THEN 'Species' ELSE 'species' END AS field,
+           CASE i WHEN 1 THEN s_nationkey ELSE s_suppkey END::VARCHAR AS value
+    FROM supplier, range(1, 3) t(i)
+""")
+def long_attributes_case(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns whose names differ only in case, below each other."""
+    found = table(spark, sf, "supplier").select("s_name", "s_nationkey", "s_suppkey").toDF("sample_id", "Species", "species")
+    return at.to_long(found, "sample_id", ["Species", "species"])
+
+
+@query("SELECT 'documents' AS \"table\", count(*) AS rows FROM documents UNION ALL SELECT 'labels', count(*) FROM labels")
+def observed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of two tables, counted while they are joined and stored."""
+    seen = at.Watched()
+    docs = seen.watch("documents", table(spark, sf, "documents").select("doc_id", "lang"))
+    labels = seen.watch("labels", table(spark, sf, "labels"))
+    docs.hint("merge").join(labels, "doc_id", "full").write.parquet(scratch_path(spark, "joined"))
+    return spark.createDataFrame(list(seen.rows().items()), "table string, rows long")

@@ -4,6 +4,8 @@ and a small one is not scattered over every task.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -113,15 +115,28 @@ def _new_only(df: DataFrame, path: str, id_column: str, form: str, mode: str) ->
 def create_or_load(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], refresh: bool = False
 ) -> DataFrame:
-    """The table stored at ``path``; built and stored first when missing or on ``refresh``."""
+    """The table stored at ``path``; built and stored first when missing or on ``refresh``.
+
+    Every build goes to a folder of its own below ``path`` and counts only once it is listed as ready, which is done
+    after its last row is written. A build that breaks off leaves the table as it was, and readers of
+    an older build are not disturbed.
+    """
+    ready = f"{path.rstrip('/')}/ready"
     if not refresh:
         try:
-            return spark.read.parquet(path)
+            builds = spark.read.schema("folder string, number long").parquet(ready)
         except AnalysisException as error:
             if error.getCondition() not in _NOT_THERE:
                 raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        else:
+            last = builds.agg(F.max_by("folder", "number")).first()[0]
+            if last:
+                return spark.read.parquet(f"{path.rstrip('/')}/{last}")
+    folder = f"build-{uuid.uuid4().hex}"
+    build().write.parquet(f"{path.rstrip('/')}/{folder}")
+    listed = spark.createDataFrame([(folder, time.time_ns())], "folder string, number long")
+    listed.coalesce(1).write.mode("append").parquet(ready)
+    return spark.read.parquet(f"{path.rstrip('/')}/{folder}")
 
 
 def _sharded(df: DataFrame, id_column: str) -> DataFrame:

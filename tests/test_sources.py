@@ -2,6 +2,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.constants import TABLE_NA_STRINGS
 from tagloom.operators import attributes as at
@@ -81,6 +82,24 @@ def test_create_or_load(spark):
     assert built == [3, 5]
 
 
+def test_a_build_that_breaks_off_leaves_the_table(spark):
+    path = scratch_path(spark, "stored")
+
+    def broken():
+        return spark.range(0, 100, 1, 4).select(F.when(F.col("id") == 99, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("id"))
+
+    with pytest.raises(Exception, match="broken"):
+        writers.create_or_load(spark, path, broken)
+    # nothing is ready yet, whatever parts were written
+    assert writers.create_or_load(spark, path, lambda: spark.range(3)).count() == 3
+    old = writers.create_or_load(spark, path, lambda: spark.range(9))
+    with pytest.raises(Exception, match="broken"):
+        writers.create_or_load(spark, path, broken, refresh=True)
+    assert writers.create_or_load(spark, path, lambda: spark.range(9)).count() == 3
+    assert writers.create_or_load(spark, path, lambda: spark.range(5), refresh=True).count() == 5
+    assert old.count() == 3
+
+
 def test_other_read_errors_are_not_hidden(spark, tmp_path):
     (tmp_path / "x.parquet").write_text("not parquet")
     with pytest.raises(Exception):
