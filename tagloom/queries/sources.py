@@ -308,13 +308,3 @@ def long_attributes_case(spark: SparkSession, sf: str) -> DataFrame:
     """Columns whose names differ only in case, below each other."""
     found = table(spark, sf, "supplier").select("s_name", "s_nationkey", "s_suppkey").toDF("sample_id", "Species", "species")
     return at.to_long(found, "sample_id", ["Species", "species"])
-
-
-@query("SELECT 'documents' AS \"table\", count(*) AS rows FROM documents UNION ALL SELECT 'labels', count(*) FROM labels")
-def observed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of two tables, counted while they are joined and stored."""
-    seen = at.Watched()
-    docs = seen.watch("documents", table(spark, sf, "documents").select("doc_id", "lang"))
-    labels = seen.watch("labels", table(spark, sf, "labels"))
-    docs.hint("merge").join(labels, "doc_id", "full").write.parquet(scratch_path(spark, "joined"))
-    return spark.createDataFrame(list(seen.rows().items()), "table string, rows long")

@@ -73,10 +73,3 @@ def test_columns_that_differ_only_in_case(spark):
     df = spark.createDataFrame([("a", 1, 2, "x"), ("b", None, 3, "y")], "id string, p int, q int, r string").toDF("id", "Species", "species", "kind")
     rows = {tuple(r) for r in attributes.to_long(df, "id", ["species", "Species"], keep=["kind"]).collect()}
     assert rows == {("a", "x", 0, "species", "2"), ("a", "x", 1, "Species", "1"), ("b", "y", 0, "species", "3")}
-
-
-def test_rows_are_counted_on_the_way(spark):
-    seen = attributes.Watched()
-    one, two = seen.watch("one", spark.range(70)), seen.watch("two", spark.range(30))
-    assert one.union(two).agg(F.sum("id")).first()[0] == sum(range(70)) + sum(range(30))
-    assert seen.rows() == {"one": 70, "two": 30}
