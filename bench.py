@@ -24,7 +24,7 @@ HEADLINE = (
     "weighted_sample", "split_first_n", "batch_ids", "majority_vote", "classification_report",
     "token_filter", "top_vocabulary", "tfidf", "document_embedding", "few_shot_tag_classifier",
     "evaluate_tag_classifier", "unrecognised_terms", "score_batches", "within_cluster_sse",
-    "kmeans", "prompt_workflow",
+    "kmeans", "prompt_workflow", "approximate_neighbours", "naive_bayes", "word_association",
 )
 
 

@@ -156,7 +156,7 @@ _PART_TOKENS = SQL_TOKENS.replace("(text)", "(value)")
         QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY count(*) DESC, predicted) = 1
     )
     SELECT count(*) FILTER (predicted = p_type) AS passed, count(*) AS total, 0::BIGINT AS unmatched,
-           round_even(100.0::DOUBLE * count(*) FILTER (predicted = p_type) / count(*), 0)::DOUBLE AS percent
+           round_even(100.0::DOUBLE * count(*) FILTER (predicted = p_type) / nullif(count(*), 0), 0)::DOUBLE AS percent
     FROM votes
 """)
 def tagger_workflow(spark: SparkSession, sf: str) -> DataFrame:
