@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.constants import ENGLISH_STOP_WORDS
-from tagloom.session import use_all_cores
+from tagloom.session import ship, use_all_cores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,17 @@ def build_session(app_name: str = "tagloom", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once a session, for sessions that were started without it."""
+    context = spark.sparkContext
+    if getattr(context, "_tagloom_shipped", None) is None:
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="tagloom-"), "tagloom")
+        context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+        context._tagloom_shipped = True
+    return spark
+
+
 def use_all_cores(df: DataFrame) -> DataFrame:
     """Spread a table that is read in fewer parts than there are cores; others stay as they are.
 
