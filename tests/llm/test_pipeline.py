@@ -62,8 +62,8 @@ def test_mixture_and_sequences(results):
 
 
 def test_oracles_name_queries():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -72,8 +72,8 @@ def test_operators_read_their_whole_table(spark, name):
     if name in ("op6_license_scan", "op9_packing"):
         assert found.count() > 0
     else:
-        table = "embeddings" if name.startswith("op8") else "documents"
-        key = "vec_id" if table == "embeddings" else "doc_id"
+        keys = {"op8": ("embeddings", "vec_id"), "op12": ("embeddings", "vec_id"), "op13": ("pages", "page_id"), "op11": ("benchmark", "item_id")}
+        table, key = keys.get(name.split("_")[0], ("documents", "doc_id"))
         want = spark.read.parquet(f"{SF}/{table}.parquet")
         assert found.select(key).distinct().count() == want.select(key).distinct().count()
 
