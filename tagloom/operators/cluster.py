@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -16,6 +17,9 @@ from tagloom.functions import arrays as fn
 from tagloom.functions.values import as_column
 from tagloom.operators.vectors import as_ml_vector
 
+#: Fits that run beside each other.
+FITS_AT_ONCE = 8
+
 
 def kmeans(
     df: DataFrame,
@@ -101,28 +105,31 @@ def elbow(
 ) -> DataFrame:
     """Squared distances to the centres for 1 to ``max_k`` clusters: (k, sse).
 
-    Only the choice of k is a loop; each fit is distributed and reads the cached vectors.
+    Each fit is distributed and reads the cached vectors. Its steps are short jobs, one after the other, so
+    ``FITS_AT_ONCE`` of the fits run beside each other, the longest first.
     """
     prepared = df.select(as_ml_vector(vector).alias("features")).persist()
-    rows = []
+
+    def sse_of(k: int) -> float:
+        model = KMeans(k=k, seed=seed, initMode="k-means||", maxIter=max_iter).fit(prepared)
+        if dimensions is None:
+            return float(model.summary.trainingCost)
+        placed = model.transform(prepared)
+        centres = [[float(x) for x in c[:dimensions]] for c in model.clusterCenters()]
+        table = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
+        gap = fn.difference(
+            F.slice(vector_to_array("features"), 1, dimensions),
+            F.get(table, F.col("prediction")),
+        )
+        return placed.agg(F.sum(fn.dot(gap, gap)).alias("sse")).first()["sse"]
+
     try:
-        # one cluster needs no fit: its centre is the mean
+        # one cluster needs no fit: its centre is the mean; this also fills the cache
         whole = prepared.select(vector_to_array("features").alias("v"), F.lit(0).alias("c"))
-        rows.append((1, cluster_sse(whole, "v", "c", dimensions).first()["sse"]))
-        for k in range(2, max_k + 1):
-            model = KMeans(k=k, seed=seed, initMode="k-means||", maxIter=max_iter).fit(prepared)
-            if dimensions is None:
-                sse = float(model.summary.trainingCost)
-            else:
-                placed = model.transform(prepared)
-                centres = [[float(x) for x in c[:dimensions]] for c in model.clusterCenters()]
-                table = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
-                gap = fn.difference(
-                    F.slice(vector_to_array("features"), 1, dimensions),
-                    F.get(table, F.col("prediction")),
-                )
-                sse = placed.agg(F.sum(fn.dot(gap, gap)).alias("sse")).first()["sse"]
-            rows.append((k, sse))
+        rows = [(1, cluster_sse(whole, "v", "c", dimensions).first()["sse"])]
+        sizes = range(max_k, 1, -1)
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            rows += sorted(zip(sizes, pool.map(sse_of, sizes), strict=True))
     finally:
         prepared.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, sse double")

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import threading
 from collections import Counter
 
 import numpy as np
@@ -261,3 +262,28 @@ def test_score_batches_with_a_callers_model(spark):
     scored = classify.score_batches(pending, scorer, ["sample_id", "prompt"], partitions=2)
     assert scored.rdd.getNumPartitions() == 2
     assert {(r.sample_id, r.tokens) for r in scored.collect()} == {(str(i), i) for i in range(20)}
+
+
+def test_fits_run_beside_each_other(blobs, monkeypatch):
+    """The fits of several k wait for each other here, which they can only do at the same time; the results are Spark's."""
+    together = threading.Barrier(3, timeout=60)
+
+    def waiting(make=cluster.KMeans, **how):
+        together.wait()
+        return make(**how)
+
+    monkeypatch.setattr(cluster, "KMeans", waiting)
+    sse = {r.k: r.sse for r in cluster.elbow(blobs, "v", max_k=4).collect()}
+    monkeypatch.undo()
+    want = cluster.KMeans(k=3, seed=cluster.CLUSTER_SEED, initMode="k-means||", maxIter=300)
+    fitted = want.fit(blobs.select(cluster.as_ml_vector("v").alias("features")))
+    assert list(sse) == [1, 2, 3, 4] and sse[3] == pytest.approx(fitted.summary.trainingCost)
+
+
+def test_a_task_compares_few_vectors_at_once(points, monkeypatch):
+    """Scores of a step are bounded, whatever the size of a batch; ties go to the smaller id as before."""
+    queries = points.select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    want = [tuple(r)[:3] for r in vectors.nearest_neighbours(points, queries, 4, "id", "v").orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(vectors, "STEP_ROWS", 3)
+    got = [tuple(r)[:3] for r in vectors.nearest_neighbours(points, queries, 4, "id", "v").orderBy("query_id", "rank").collect()]
+    assert got == want
