@@ -21,6 +21,8 @@ from tagloom.operators.joins import fits, lookup_join, spread_join
 
 VECTOR_BYTES = 256 * 1024 * 1024
 QUERY_ROWS = 4_096
+#: Vectors that a task compares with a block of queries in one step.
+STEP_ROWS = 1_024
 
 
 def vector_dimensions(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -186,11 +188,11 @@ def _best_in_part(rows: list, k: int):
         # best k per query; equal scores by id
         if scores.shape[1] <= k:
             return ids, scores
-        chosen = np.empty((scores.shape[0], k), dtype=int)
-        for row, line in enumerate(scores):
-            kth = np.partition(line, -k)[-k]
-            near = np.flatnonzero(line >= kth)
-            chosen[row] = sorted(near, key=lambda j: (-line[j], ids[row, j]))[:k]
+        chosen = np.argpartition(scores, -k, axis=1)[:, -k:]
+        kth = np.take_along_axis(scores, chosen, 1).min(1)
+        for row in np.flatnonzero((scores >= kth[:, None]).sum(1) > k):
+            near = np.flatnonzero(scores[row] >= kth[row])
+            chosen[row] = sorted(near, key=lambda j: (-scores[row, j], ids[row, j]))[:k]
         return np.take_along_axis(ids, chosen, 1), np.take_along_axis(scores, chosen, 1)
 
     asked = unit_rows(np.array([r["vector"] for r in rows], dtype="float64"))
@@ -198,9 +200,8 @@ def _best_in_part(rows: list, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = np.empty((len(query_ids), 0), dtype=object)
         scores = np.empty((len(query_ids), 0))
-        for batch in batches:
-            if batch.empty:
-                continue
+        # never more scores at once than a block of queries has with a few vectors
+        for batch in (whole.iloc[at : at + STEP_ROWS] for whole in batches for at in range(0, len(whole), STEP_ROWS)):
             block = unit_rows(np.stack(batch["vector"].to_numpy()).astype("float64"))
             batch_ids = batch["vector_id"].to_numpy(dtype=object)
             ids = np.hstack([ids, np.broadcast_to(batch_ids, (len(query_ids), len(batch)))])
