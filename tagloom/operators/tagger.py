@@ -35,8 +35,8 @@ BUCKETS, PASSES, SHARDS, TOGETHER = 1 << 16, 6, 8, 16
 SENTENCES, WITHOUT = 20_000, 0.3
 #: Words of a sentence; longer ones are cut.
 LONGEST = 60
-#: Sentences whose tags are worked out in one step.
-STEP = 512
+#: Sentences whose tags are worked out in one step, and texts that are cut into sentences in one.
+STEP, TEXTS = 512, 64
 
 _TOKEN = re.compile(r"\w+|[.!?]+(?=\s)|\n")
 _FORMS = 7  # descriptions of a word by itself
@@ -187,7 +187,7 @@ def examples(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, kinds = shared.value[0].find, shared.value[1]
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             keys, words, tags = [], [], []
             for key, value in zip(batch.column("key"), batch.column("text"), strict=True):
                 for at, (found, _, _) in enumerate(sentences(value.as_py() or "")):
@@ -306,8 +306,8 @@ def tag_learned(df: DataFrame, sample_id: str, text: str, tagger: Tagger) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
                 owner, found = [], []
                 for row, value in enumerate(batch.column("text")):
                     for sentence in sentences(value.as_py() or ""):

@@ -85,3 +85,12 @@ def test_odd_texts(spark, learned):
     assert tg.tag_learned(docs, "id", "t", nothing).count() == 0
     no_terms = tg.learn(docs, "id", "t", gaz.limit(0), passes=1)
     assert no_terms.labels == [] and tg.tag_learned(docs, "id", "t", no_terms).count() == 0
+
+
+def test_sentences_are_cut_a_few_texts_at_a_time(learned, monkeypatch):
+    """The lists of a whole batch are never held; the examples are the same."""
+    _, docs, gaz = learned
+    key = lambda df: sorted((r["key"], tuple(r["words"]), tuple(r["tags"])) for r in df.collect())
+    want = key(tg.examples(docs, "id", "t", gaz)[0])
+    monkeypatch.setattr(tg, "TEXTS", 3)
+    assert want and key(tg.examples(docs, "id", "t", gaz)[0]) == want
