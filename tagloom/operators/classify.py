@@ -10,9 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    LinearSVC,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import RobustScaler
@@ -27,7 +25,7 @@ from tagloom.functions import text as words
 from tagloom.functions.values import as_column
 from tagloom.operators.evaluate import accuracy_matrix
 from tagloom.operators.joins import lookup_join
-from tagloom.operators.kernels import KernelSVM
+from tagloom.operators.kernels import KernelSVM, LinearSVM
 from tagloom.operators.labels import encode_labels, train_test_split
 from tagloom.operators.vectors import as_ml_vector, l2_normalize, mean_vector
 from tagloom.session import stored
@@ -47,7 +45,7 @@ def classifiers(
     """The four compared classifiers. ``kernel="rbf"`` gives the support vector machine a curved border."""
     if kernel not in ("linear", "rbf"):
         raise ValueError(f"no kernel {kernel!r}")
-    linear = OneVsRest(classifier=LinearSVC(maxIter=svm_iterations), parallelism=8)
+    linear = LinearSVM(max_iter=svm_iterations)
     return {
         LOGISTIC_REGRESSION: LogisticRegression(family="multinomial", maxIter=400),
         SVM: linear if kernel == "linear" else KernelSVM(max_iter=svm_iterations, seed=seed),

@@ -1,4 +1,7 @@
-"""Support vector machine with the RBF kernel, by random Fourier features before a linear machine.
+"""Support vector machines: linear, and with the RBF kernel by random Fourier features before a linear machine.
+
+The machines of all classes are fitted together: one pass over the cached rows gives the loss and the slope of every class that has not
+settled, added up in the tasks, so a pass sends one row per class to the driver whatever the number of rows.
 
 The inner product of two rows of features is about exp(-gamma * distance ** 2), the more features the closer. Features
 are worked out where a vector is read, so training costs what the linear machine costs.
@@ -11,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -23,7 +26,107 @@ from tagloom.functions import arrays as fn
 
 #: Random features, and rows whose features are worked out in one step.
 FEATURES, STEP_ROWS = 512, 4_096
-_KERNEL = "__kernel"
+#: Steps that a direction follows from, least gain of a step (part of the loss), halvings of a step, and what a step must reach.
+STEPS, GAIN, HALVINGS, REACHED = 10, 1e-6, 20, 1e-4
+
+
+class _Descent:
+    """L-BFGS for one class. ``point`` is where the loss is wanted next; ``told`` takes it."""
+
+    def __init__(self, size: int, max_iter: int):
+        self.best, self.loss, self.slope = np.zeros(size), np.inf, np.zeros(size)
+        self.point, self.left, self.halved, self.done = self.best, max_iter, 0, False
+        self.history: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def told(self, loss: float, slope: np.ndarray) -> None:
+        along = self.slope @ (self.point - self.best)
+        if loss > self.loss + REACHED * along:
+            self.halved += 1
+            self.done = self.halved > HALVINGS
+            self.point = (self.best + self.point) / 2
+            return
+        gain = self.loss - loss
+        moved, turned = self.point - self.best, slope - self.slope
+        if np.isfinite(self.loss):
+            self.left -= 1
+            if moved @ turned > 1e-12:
+                self.history = [*self.history, (moved, turned)][-STEPS:]
+        self.best, self.loss, self.slope, self.halved = self.point, loss, slope, 0
+        self.done = self.left <= 0 or gain <= GAIN * abs(loss) or not slope.any()
+        self.point = self.best - self._direction()
+
+    def _direction(self) -> np.ndarray:
+        out, parts = self.slope.copy(), []
+        for moved, turned in reversed(self.history):
+            part = moved @ out / (moved @ turned)
+            out -= part * turned
+            parts.append(part)
+        if self.history:
+            moved, turned = self.history[-1]
+            out *= moved @ turned / (turned @ turned)
+        else:
+            out /= max(1.0, np.linalg.norm(out))
+        for (moved, turned), part in zip(self.history, reversed(parts), strict=True):
+            out += (part - turned @ out / (moved @ turned)) * moved
+        return out
+
+
+def fit_machines(rows: DataFrame, max_iter: int, penalty: float = 0.0, standardize: bool = True) -> np.ndarray:
+    """One linear machine for each class against the rest, from (label double, x array): a row of weights and intercept per class.
+
+    The mean hinge loss, and ``penalty`` / 2 times the squared weights (of scaled features with ``standardize``).
+    """
+    summary = Summarizer.metrics("std").summary(array_to_vector("x"))
+    seen = rows.agg(summary.alias("s"), F.max("label").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    width = seen["s"]["std"].toArray()
+    scale = np.divide(1.0, width, out=np.zeros_like(width), where=width > 0)
+    weigh = penalty * (np.ones_like(scale) if standardize else scale**2)
+    classes = [_Descent(len(scale) + 1, max_iter) for _ in range(int(seen["last"]) + 1)]
+    while moving := [k for k, c in enumerate(classes) if not c.done]:
+        points = np.array([classes[k].point for k in moving])
+        told = rows.mapInArrow(_hinge(np.array(moving), points, scale), "place int, loss double, slope array<double>")
+        # one row of sums per class
+        summed = told.groupBy("place").agg(F.sum("loss").alias("loss"), Summarizer.sum(array_to_vector("slope")).alias("slope"))
+        for row in summed.collect():
+            w = points[row["place"]][:-1]
+            slope = row["slope"].toArray() / seen["n"] + np.append(weigh * w, 0.0)
+            classes[moving[row["place"]]].told(row["loss"] / seen["n"] + (weigh * w * w).sum() / 2, slope)
+    return np.array([c.best * np.append(scale, 1.0) for c in classes])
+
+
+def _hinge(labels: np.ndarray, points: np.ndarray, scale: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, slope = np.zeros(len(points)), np.zeros(points.shape)
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(at, STEP_ROWS)
+                x = np.asarray(batch.column("x").flatten(), np.float64).reshape(batch.num_rows, -1) * scale
+                sign = np.where(np.asarray(batch.column("label"))[:, None] == labels, 1.0, -1.0)
+                lacks = 1.0 - sign * (x @ points[:, :-1].T + points[:, -1])
+                loss += np.maximum(lacks, 0.0).sum(0)
+                push = np.where(lacks > 0, -sign, 0.0)
+                slope[:, :-1] += push.T @ x
+                slope[:, -1] += push.sum(0)
+        place = pa.array(np.arange(len(points), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([place, pa.array(loss), pa.array(list(slope), pa.list_(pa.float64()))], ["place", "loss", "slope"])
+
+    return run
+
+
+def most_likely(machines: np.ndarray, vector: Column) -> Column:
+    """The class whose machine gives an array the highest score; null for null."""
+
+    @F.pandas_udf("double")
+    def best(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            values, out = part.to_numpy(), np.full(len(part), np.nan)
+            known = np.flatnonzero(part.notna().to_numpy())
+            for at in range(0, len(known), STEP_ROWS):
+                rows = known[at : at + STEP_ROWS]
+                out[rows] = (np.stack(values[rows]) @ machines[:, :-1].T + machines[:, -1]).argmax(1)
+            yield pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    return best(vector)
 
 
 class KernelFeatures:
@@ -69,64 +172,78 @@ def spread_gamma(df: DataFrame, vector: str) -> float:
     return float(1.0 / (len(means) * whole)) if whole > 0 else 1.0
 
 
-class KernelSVM:
-    """Fits like the other classifiers: one machine per class against the rest, on random features.
+class LinearSVM:
+    """Fits like the other classifiers: one machine per class against the rest, without a penalty."""
 
-    ``cost`` weighs the errors as usual (1 by default). Without ``gamma`` it follows from the training rows.
-    """
-
-    def __init__(
-        self, features: int = FEATURES, gamma: float | None = None, cost: float = 1.0, max_iter: int = 100, seed: int = SPLIT_SEED,
-        parallelism: int = 8,
-    ):
-        self.features, self.gamma, self.cost, self.max_iter, self.seed = features, gamma, cost, max_iter, seed
-        self.parallelism = parallelism
+    def __init__(self, max_iter: int = 100):
+        self.max_iter = max_iter
         self.features_column, self.label_column, self.prediction_column = "features", "label", "prediction"
 
-    def copy(self) -> KernelSVM:
+    def copy(self):
         return copy.copy(self)
 
-    def setFeaturesCol(self, name: str) -> KernelSVM:  # noqa: N802  (as Spark's own classifiers)
+    def setFeaturesCol(self, name: str):  # noqa: N802  (as Spark's own classifiers)
         self.features_column = name
         return self
 
-    def setLabelCol(self, name: str) -> KernelSVM:  # noqa: N802
+    def setLabelCol(self, name: str):  # noqa: N802
         self.label_column = name
         return self
 
-    def setPredictionCol(self, name: str) -> KernelSVM:  # noqa: N802
+    def setPredictionCol(self, name: str):  # noqa: N802
         self.prediction_column = name
         return self
 
-    def fit(self, train: DataFrame) -> KernelSVMModel:
-        known = train.filter(F.col(self.features_column).isNotNull() & F.col(self.label_column).isNotNull())
+    def fit(self, train: DataFrame) -> SVMModel:
+        known = self._known(train)
+        return self._fitted(known, None, 0.0)
+
+    def _known(self, train: DataFrame) -> DataFrame:
+        return train.filter(F.col(self.features_column).isNotNull() & F.col(self.label_column).isNotNull())
+
+    def _fitted(self, known: DataFrame, kernel: KernelFeatures | None, penalty: float) -> SVMModel:
+        x = _array(known, self.features_column)
+        # every pass reads the features, so they are worked out once
+        ready = known.select(F.col(self.label_column).cast("double").alias("label"), (kernel.column(x) if kernel else x).alias("x")).persist()
+        try:
+            if ready.isEmpty():
+                raise ValueError("no row to learn from")
+            machines = fit_machines(ready, self.max_iter, penalty, standardize=kernel is None)
+        finally:
+            ready.unpersist()
+        return SVMModel(kernel, machines, self.features_column, self.prediction_column)
+
+
+class KernelSVM(LinearSVM):
+    """The same on random features.
+
+    ``cost`` weighs the errors as usual (1 by default). Without ``gamma`` it follows from the training rows.
+    """
+
+    def __init__(
+        self, features: int = FEATURES, gamma: float | None = None, cost: float = 1.0, max_iter: int = 100, seed: int = SPLIT_SEED,
+    ):
+        super().__init__(max_iter)
+        self.features, self.gamma, self.cost, self.seed = features, gamma, cost, seed
+
+    def fit(self, train: DataFrame) -> SVMModel:
+        known = self._known(train)
         size = known.select(F.size(_array(known, self.features_column)).alias("n")).agg(F.max("n"), F.count("n")).first()
         if not size[1]:
             raise ValueError("no row to learn from")
         gamma = self.gamma or spread_gamma(known, self.features_column)
         kernel = KernelFeatures(size[0], gamma, self.features, self.seed)
-        # every iteration reads the features, so they are worked out once
-        ready = known.select(
-            F.col(self.label_column).cast("double").alias("label"),
-            array_to_vector(kernel.column(_array(known, self.features_column))).alias(_KERNEL),
-        ).persist()
-        try:
-            machine = LinearSVC(maxIter=self.max_iter, regParam=1.0 / (self.cost * size[1]), standardization=False)
-            model = OneVsRest(classifier=machine, featuresCol=_KERNEL, parallelism=self.parallelism).fit(ready)
-        finally:
-            ready.unpersist()
-        return KernelSVMModel(kernel, model, self.features_column, self.prediction_column)
+        return self._fitted(known, kernel, 1.0 / (self.cost * size[1]))
 
 
-class KernelSVMModel:
-    def __init__(self, kernel: KernelFeatures, model, features: str, prediction: str):
-        self.kernel, self.model, self.features, self.prediction = kernel, model, features, prediction
+class SVMModel:
+    def __init__(self, kernel: KernelFeatures | None, machines: np.ndarray, features: str, prediction: str):
+        self.kernel, self.machines, self.features, self.prediction = kernel, machines, features, prediction
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds the predicted class number."""
-        ready = df.withColumn(_KERNEL, array_to_vector(self.kernel.column(_array(df, self.features))))
-        found = self.model.copy().setPredictionCol(self.prediction).transform(ready)
-        return found.select(*[c for c in found.columns if c in df.columns or c == self.prediction])
+        x = _array(df, self.features)
+        return df.withColumn(self.prediction, most_likely(self.machines, self.kernel.column(x) if self.kernel else x))
 
 
 def _is_vector(df: DataFrame, name: str) -> bool:

@@ -57,3 +57,24 @@ def test_on_arrays_and_nulls(spark, rings):
     assert model.transform(odd).first()["p"] == 0.0
     with pytest.raises(ValueError):
         kernels.KernelSVM().setFeaturesCol("v").setLabelCol("y").fit(rings.limit(0))
+
+
+def test_all_classes_are_fitted_in_the_same_passes(rings):
+    """A pass serves every class: no more passes than the slowest class takes alone, and one row per class is collected."""
+    passes = []
+    rows = rings.select(F.col("y").cast("double").alias("label"), F.col("v").alias("x")).cache()
+
+    def counted(*a, make=kernels._hinge):
+        passes.append(len(a[0]))
+        return make(*a)
+
+    kernels._hinge, kept = counted, kernels._hinge
+    try:
+        machines = kernels.fit_machines(rows, 15)
+    finally:
+        kernels._hinge = kept
+    assert machines.shape == (3, 3) and passes[0] == 3 and len(passes) <= 15 * 3
+    x, y = np.array([r["x"] for r in rows.collect()]), np.array([r["label"] for r in rows.collect()])
+    sign = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    loss = np.maximum(0, 1 - sign * (x @ machines[:, :-1].T + machines[:, -1])).mean(0)
+    assert (loss <= 1.0).all() and np.isfinite(loss).all()
