@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import numpy as np
@@ -11,7 +12,6 @@ import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import RobustScaler
 from pyspark.ml.functions import array_to_vector
@@ -24,6 +24,7 @@ from tagloom.functions import arrays as fn
 from tagloom.functions import text as words
 from tagloom.functions.values import as_column
 from tagloom.operators.evaluate import accuracy_matrix
+from tagloom.operators.forest import RandomForest
 from tagloom.operators.joins import lookup_join
 from tagloom.operators.kernels import KernelSVM, LinearSVM
 from tagloom.operators.labels import encode_labels, train_test_split
@@ -35,6 +36,8 @@ LOGISTIC_REGRESSION = "Logistic_Regression"
 SVM = "Support_Vector_Machine"
 RANDOM_FOREST = "Random_Forest"
 DECISION_TREE = "Decision_Tree"
+#: Classifiers that are fitted beside each other.
+FITS_AT_ONCE = 4
 #: Numbers of class means in a block that goes to every task, and tags that are compared in one step.
 CLASS_NUMBERS, TAG_ROWS = 1 << 22, 1 << 11
 
@@ -49,7 +52,7 @@ def classifiers(
     return {
         LOGISTIC_REGRESSION: LogisticRegression(family="multinomial", maxIter=400),
         SVM: linear if kernel == "linear" else KernelSVM(max_iter=svm_iterations, seed=seed),
-        RANDOM_FOREST: RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed),
+        RANDOM_FOREST: RandomForest(trees, max_depth, seed),
         DECISION_TREE: DecisionTreeClassifier(maxDepth=max_depth, seed=seed),
     }
 
@@ -91,7 +94,8 @@ def classifier_grid(
 ) -> DataFrame:
     """Accuracy of every classifier on every vector column: (embedding, classifier, accuracy).
 
-    All columns share one split. A split is scaled and cached once per vector column.
+    All columns share one split. A split is scaled and cached once per vector column. The steps of most fits are short jobs,
+    one after the other, so ``FITS_AT_ONCE`` of them run beside each other.
     """
     models = models or classifiers(seed)
     spark = df.sparkSession
@@ -104,12 +108,18 @@ def classifier_grid(
         test = one.filter(F.col("__test"))
         train, test = robust_scale(train, test, vector="__v", name="__x")
         train, test = train.select("__y", "__x").persist(), test.select("__y", "__x").persist()
-        for name, model in models.items():
-            predicted = fit_predict(model, train, test, "__x", "__y", "__p")
+
+        def accuracy(name: str, train: DataFrame = train, test: DataFrame = test) -> float:
+            predicted = fit_predict(models[name], train, test, "__x", "__y", "__p")
             hit = predicted.agg(F.avg((F.col("__y") == F.col("__p")).cast("double")).alias("a"))
-            rows.append((embedding, name, hit.first()["a"]))
-        train.unpersist()
-        test.unpersist()
+            return hit.first()["a"]
+
+        try:
+            with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+                rows += [(embedding, *found) for found in zip(models, pool.map(accuracy, models), strict=True)]
+        finally:
+            train.unpersist()
+            test.unpersist()
     return spark.createDataFrame(rows, "embedding string, classifier string, accuracy double")
 
 
