@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: an index of cells, searched in the few cells next to each query.
 
 The centres of the cells are fitted on a bounded sample; every vector goes to its nearest centre. A query is compared
-with the vectors of its ``probes`` nearest cells only. Vectors and queries are both dealt by cell, and a cell that
-holds many of either is cut into pieces of bounded size, so nothing that grows with the tables reaches the
-driver, and no cell is more than a task can hold.
+with the vectors of its ``probes`` nearest cells only. Cells are put on shelves, and vectors and queries are both dealt by
+shelf: a query goes once to a shelf, with the list of its cells there, and comes back with its best of all of them. A shelf that holds many
+vectors or queries is cut into pieces of bounded size, so nothing that grows with the tables reaches the driver, and no
+piece is more than a task can hold.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from tagloom.session import stored
 
 #: Rows that centres are fitted on, and most cells; up to there a table has as many as the root of its rows.
 SAMPLE_ROWS, MOST_CELLS = 65_536, 8_192
-#: Vectors and queries of a cell that are compared in one step.
-PIECE_VECTORS, PIECE_QUERIES = 8_192, 1_024
+#: Vectors and queries of a piece of a shelf, and queries that are compared with a cell in one step.
+PIECE_VECTORS, PIECE_QUERIES, STEP_QUERIES = 65_536, 65_536, 1_024
 #: Queries whose exact neighbours decide how many cells are searched.
 TUNE_QUERIES = 256
 
@@ -87,14 +88,20 @@ def search_index(
         F.col("vector").isNotNull()
     )
     probes = min(probes, len(index.centres))
-    asked = _placed(asked, "query_id", index.centres, probes).withColumnRenamed("vector", "query")
-    # one row per cell: at most MOST_CELLS
-    vector_pieces = _pieces(index.vectors, PIECE_VECTORS, "of_vectors")
-    query_pieces = _pieces(asked, PIECE_QUERIES, "of_queries")
-    pieces = vector_pieces.join(query_pieces, "cell")
+    # at most MOST_CELLS rows
+    sizes = index.vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    shelf_of, of_vectors = _shelves({r["cell"]: r["n"] for r in sizes}, len(index.centres))
+    asked = _asked(asked, index.centres, probes, shelf_of)
+    shelves = index.vectors.sparkSession.createDataFrame(
+        [(c, int(shelf_of[c]), of_vectors[shelf_of[c]]) for c in sorted(r["cell"] for r in sizes)], "cell int, shelf int, of_vectors int"
+    )
+    # one row per cell, or per shelf
+    pieces = shelves.join(F.broadcast(_pieces(asked, "shelf", PIECE_QUERIES, "of_queries")), "shelf")
     vectors = _dealt(index.vectors.join(F.broadcast(pieces), "cell"), "vector_id", "of_vectors", "of_queries", "v", "q")
-    dealt = _dealt(asked.join(F.broadcast(pieces), "cell"), "query_id", "of_queries", "of_vectors", "q", "v")
-    keys = ("cell", "v", "q")
+    dealt = _dealt(
+        asked.join(F.broadcast(pieces.drop("cell").distinct()), "shelf"), "query_id", "of_queries", "of_vectors", "q", "v"
+    )
+    keys = ("shelf", "v", "q")
     schema = T.StructType(
         [
             T.StructField("query_id", asked.schema["query_id"].dataType),
@@ -103,9 +110,9 @@ def search_index(
         ]
     )
     found = (
-        vectors.select(*keys, "vector_id", "vector")
+        vectors.select(*keys, "cell", "vector_id", "vector")
         .groupBy(*keys)
-        .cogroup(dealt.select(*keys, "query_id", "query").groupBy(*keys))
+        .cogroup(dealt.select(*keys, "cells", "query_id", "query").groupBy(*keys))
         .applyInArrow(_best_in_piece(k + 1 if exclude_same_id else k), schema)
     )
     if exclude_same_id:
@@ -177,10 +184,7 @@ def _placed(df: DataFrame, name: str, centres: np.ndarray, probes: int) -> DataF
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 near = _matrix(batch.column("vector")) @ centres.T
-                if probes < near.shape[1]:
-                    cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes > 1 else near.argmax(1)[:, None]
-                else:
-                    cells = np.broadcast_to(np.arange(near.shape[1]), near.shape)
+                cells = _nearest(near, probes)
                 take = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
                 cell = pa.array(cells.ravel().astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in (name, "vector")] + [cell], schema.names)
@@ -188,8 +192,50 @@ def _placed(df: DataFrame, name: str, centres: np.ndarray, probes: int) -> DataF
     return df.select(name, "vector").mapInArrow(run, schema)
 
 
-def _pieces(df: DataFrame, most: int, name: str) -> DataFrame:
-    return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name))
+def _shelves(sizes: dict[int, int], cells: int) -> tuple[np.ndarray, list[int]]:
+    """The shelf of each cell (-1 for a cell without vectors), and into how many pieces each shelf is cut."""
+    shelf_of, held = np.full(cells, -1), []
+    for cell, n in sorted(sizes.items()):
+        if not held or held[-1] + n > PIECE_VECTORS:
+            held.append(0)
+        held[-1] += n
+        shelf_of[cell] = len(held) - 1
+    return shelf_of, [math.ceil(n / PIECE_VECTORS) for n in held]
+
+
+def _asked(df: DataFrame, centres: np.ndarray, probes: int, shelf_of: np.ndarray) -> DataFrame:
+    """(query_id, query, shelf, cells): a row for each shelf that holds some of the ``probes`` nearest cells."""
+    kinds = df.select("query_id", F.col("vector").alias("query")).schema
+    schema = kinds.add("shelf", T.IntegerType()).add("cells", T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches if (shelf_of >= 0).any() else ():
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                near = _matrix(batch.column("vector")) @ centres.T
+                cells = _nearest(near, probes)
+                row, cell = np.repeat(np.arange(len(cells)), cells.shape[1]), cells.ravel()
+                shelf = shelf_of[cell]
+                order = np.lexsort((cell, shelf, row))
+                order = order[shelf[order] >= 0]
+                row, cell, shelf = row[order], cell[order], shelf[order]
+                first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(shelf, prepend=-1) != 0))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                take = pa.array(row[first])
+                data = [batch.column(c).take(take) for c in ("query_id", "vector")]
+                yield pa.RecordBatch.from_arrays([*data, pa.array(shelf[first].astype(np.int32)), lists], schema.names)
+
+    return df.select("query_id", "vector").mapInArrow(run, schema)
+
+
+def _nearest(near: np.ndarray, probes: int) -> np.ndarray:
+    if probes >= near.shape[1]:
+        return np.broadcast_to(np.arange(near.shape[1]), near.shape)
+    return np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes > 1 else near.argmax(1)[:, None]
+
+
+def _pieces(df: DataFrame, key: str, most: int, name: str) -> DataFrame:
+    return df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name))
 
 
 def _dealt(df: DataFrame, row_id: str, own: str, others: str, own_name: str, other_name: str) -> DataFrame:
@@ -204,23 +250,52 @@ def _best_in_piece(k: int):
         kinds = [queries.schema.field("query_id").type, vectors.schema.field("vector_id").type, pa.float64()]
         if not vectors.num_rows or not queries.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        # smallest ids first, so that a stable sort leaves ties in their order
+        # by cell, and smallest ids first, so that ties are told by place
         vectors = vectors.sort_by("vector_id")
-        scores = _matrix(queries["query"]) @ _matrix(vectors["vector"]).T
-        if scores.shape[1] > k:
-            kth = np.partition(scores, -k, axis=1)[:, -k]
-            rows, columns = np.nonzero(scores >= kth[:, None])
-        else:
-            rows, columns = np.nonzero(np.ones(scores.shape, bool))
-        values = scores[rows, columns]
-        order = np.lexsort((columns, -values, rows))
-        rows, columns, values = rows[order], columns[order], values[order]
-        # of equally similar ones no more than k go on
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = place < k
-        rows, columns, values = rows[keep], columns[keep], values[keep]
+        held = np.asarray(vectors["cell"])
+        by_cell = np.argsort(held, kind="stable")
+        cells, starts = np.unique(held[by_cell], return_index=True)
+        places = dict(zip(cells.tolist(), np.split(by_cell, starts[1:]), strict=True))
+        matrix = _matrix(vectors["vector"])
+        parts = []
+        for at in range(0, queries.num_rows, STEP_QUERIES):
+            some = queries.slice(at, STEP_QUERIES)
+            asked = _matrix(some["query"])
+            lists = some["cells"].combine_chunks()
+            wanted = np.asarray(lists.flatten())
+            row = np.repeat(np.arange(len(asked)), np.asarray(lists.value_lengths()))
+            order = np.argsort(wanted, kind="stable")
+            row, wanted = row[order], wanted[order]
+            kinds, first = np.unique(wanted, return_index=True)
+            # what the k-th best of a query reaches at least
+            least, found = np.full(len(asked), -np.inf), []
+            for cell, own in zip(kinds.tolist(), np.split(row, first[1:]), strict=True):
+                if cell in places:
+                    found.append(_best_in_cell(asked, own, matrix, places[cell], k, least))
+            if found:
+                rows, columns, values = _first(*[np.concatenate(x) for x in zip(*found, strict=True)], k)
+                parts.append((rows + at, columns, values))
+        rows, columns, values = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.array([], int)] * 2 + [np.array([])]
         return pa.table(
             [queries["query_id"].take(pa.array(rows)), vectors["vector_id"].take(pa.array(columns)), pa.array(values)], names=names
         )
 
     return run
+
+
+def _best_in_cell(asked: np.ndarray, own: np.ndarray, matrix: np.ndarray, place: np.ndarray, k: int, least: np.ndarray):
+    """Rows, places and values of the ``k`` vectors of a cell most like each of these queries, but for those that reach less than ``least``."""
+    scores = asked[own] @ matrix[place].T
+    own, scores = (x[scores.max(1) >= least[own]] for x in (own, scores))
+    if scores.shape[1] >= k:
+        least[own] = np.maximum(least[own], np.partition(scores, -k, axis=1)[:, -k])
+    rows, columns = np.nonzero(scores >= least[own][:, None])
+    return _first(own[rows], place[columns], scores[rows, columns], k)
+
+
+def _first(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, k: int):
+    """The ``k`` highest values of each row; of equal ones the first in place, and no more than ``k`` go on."""
+    order = np.lexsort((columns, -values, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], columns[keep], values[keep]

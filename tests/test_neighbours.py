@@ -70,3 +70,29 @@ def test_odd_tables(spark, clouds):
     found = triples(nb.search_index(one, asked(both), 2, 3))
     assert found == [(7, 1, 1, 1.0), (7, 2, 2, 1.0), (9, 1, 1, 0.0), (9, 2, 2, 0.0)]
     assert nb.search_index(nb.build_index(clouds, "id", "v", cells=5), asked(empty), 2, 2).count() == 0
+
+
+def test_a_query_goes_once_to_each_shelf(clouds, monkeypatch):
+    """Not once to each of its cells, with its vector each time."""
+    known = clouds.filter("id < 1500")
+    index = nb.build_index(known, "id", "v", cells=30)
+    queries = known.select(F.col("id").alias("query_id"), "v").select("query_id", F.col("v").alias("vector"))
+    sizes = {r["cell"]: r["count"] for r in index.vectors.groupBy("cell").count().collect()}
+    shelf_of, pieces = nb._shelves(sizes, 30)
+    assert set(shelf_of[list(sizes)]) == {0} and pieces == [1]
+    rows = nb._asked(queries, index.centres, 20, shelf_of).collect()
+    assert len(rows) == 1500 and all(len(r.cells) == len(set(r.cells)) <= 20 for r in rows)
+    monkeypatch.setattr(nb, "PIECE_VECTORS", 500)
+    shelf_of, pieces = nb._shelves({0: 300, 1: 150, 2: 1700, 4: 500, 5: 1}, 6)
+    assert shelf_of.tolist() == [0, 0, 1, -1, 2, 3] and pieces == [1, 4, 1, 1]
+
+
+def test_shelves_change_no_neighbours(clouds, monkeypatch):
+    known = clouds.filter("id < 2400")
+    index = nb.build_index(known, "id", "v", cells=30)
+    queries = asked(known.filter("id % 7 = 0"))
+    whole = triples(nb.search_index(index, queries, 4, 6))
+    for name, n in (("PIECE_VECTORS", 200), ("PIECE_QUERIES", 40), ("STEP_QUERIES", 9)):
+        monkeypatch.setattr(nb, name, n)
+    cut = triples(nb.search_index(index, queries, 4, 6))
+    assert [(q, r, s) for q, r, _, s in cut] == [(q, r, s) for q, r, _, s in whole]
