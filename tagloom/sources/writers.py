@@ -1,5 +1,6 @@
 """Writers. Sharded outputs are rebalanced first, so that a large shard becomes several files
-and a small one is not scattered over every task.
+and a small one is not scattered over every task. Where the number of records in a file is given, a shard goes to
+as many tasks as its files are worth.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tagloom.functions.values import as_column, shard
 from tagloom.sources.readers import PREDICTION_SCHEMA
 
+#: Files that a task writes when the number of records in a file is given: their number costs time, not their bytes.
+FILES_A_TASK = 64
 _NOT_THERE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
@@ -51,7 +54,7 @@ def write_records(
     record. ``mode="overwrite"`` replaces the store.
     """
     new = _new_only(df, path, id_column, "json", mode)
-    writer = _sharded(new, id_column).write.mode(mode).partitionBy("shard")
+    writer = _sharded(new, id_column, records_per_file).write.mode(mode).partitionBy("shard")
     if records_per_file:
         writer = writer.option("maxRecordsPerFile", records_per_file)
     writer.json(path)
@@ -69,7 +72,7 @@ def write_raw_records(
 
     Such files don't name their ids, so give only records that the store lacks (``missing_records``).
     """
-    writer = _sharded(df, id_column).select("shard", as_column(raw_column).alias("value")).write
+    writer = _sharded(df, id_column, records_per_file).select("shard", as_column(raw_column).alias("value")).write
     if records_per_file:
         writer = writer.option("maxRecordsPerFile", records_per_file)
     writer.mode(mode).partitionBy("shard").text(path)
@@ -139,8 +142,18 @@ def create_or_load(
     return spark.read.parquet(f"{path.rstrip('/')}/{folder}")
 
 
-def _sharded(df: DataFrame, id_column: str) -> DataFrame:
-    return df.withColumn("shard", shard(id_column)).hint("rebalance", "shard")
+def _sharded(df: DataFrame, id_column: str, records_per_file: int | None = None) -> DataFrame:
+    placed = df.withColumn("shard", shard(id_column))
+    if not records_per_file:
+        return placed.hint("rebalance", "shard")
+    most = F.lit(records_per_file * FILES_A_TASK)
+    # a row per folder
+    shards = placed.groupBy(F.col("shard").alias("__shard")).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts"))
+    tasks = shards.agg(F.sum("__parts")).first()[0] or 1
+    parted = placed.join(F.broadcast(shards), F.col("shard").eqNullSafe(F.col("__shard"))).withColumn(
+        "__part", F.pmod(F.xxhash64(as_column(id_column)), F.col("__parts"))
+    )
+    return parted.repartition(tasks, "shard", "__part").drop("__shard", "__parts", "__part")
 
 
 def _csv(df: DataFrame, path: str, sep: str, compression: str) -> None:

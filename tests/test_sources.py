@@ -166,3 +166,22 @@ def test_streaming_frames_take_the_row_functions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("cleaned").collect()} == {("a", None), ("b", "pig")}
+
+
+def test_one_file_per_record_is_the_work_of_many_tasks(spark, tmp_path, monkeypatch):
+    """A folder whose files are small but many was written by one task."""
+    monkeypatch.setattr(writers, "FILES_A_TASK", 10)
+    path = str(tmp_path / "records")
+    ids = spark.range(120).select(F.format_string("Supplier#%09d", "id").alias("sample_id"), F.col("id").cast("string").alias("raw"))
+    odd = spark.createDataFrame([("Other", "a"), (None, "b"), (None, "c"), ("Supplier#000000001", "1")], "sample_id string, raw string")
+    writers.write_raw_records(ids.coalesce(1).union(odd.coalesce(1)), path, records_per_file=1)
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    rows = readers.read_records(spark, path).collect()
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+    assert sorted(r.raw.rstrip("\n") for r in rows) == sorted([*map(str, range(120)), "a", "b", "c", "1"])
+    tasks = {r.file_id.split("-")[1] for r in rows}
+    assert len(tasks) > 5
+    # a small folder is one task's work
+    few = str(tmp_path / "few")
+    writers.write_records(ids.limit(40).repartition(8).withColumn("k", F.lit(1)), few, records_per_file=20)
+    assert spark.read.text(few).select(F.input_file_name()).distinct().count() == 2
