@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.groups import components
-from tagloom.llm.shared import blocks, met_keys, mix, passes, shingle_sets, sieve, stored, words
+from tagloom.llm.shared import blocks, met_keys, mix, passes, shared_keys, shingle_sets, sieve, stored, words
 
 #: Bits of a part of the sketch (only set ones are looked at), and parts for each one that is needed.
 PART_BITS = 1 << 20
@@ -121,18 +121,17 @@ def keyed_sets(docs: DataFrame, length: int, percent: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (hub, member) of sets that meet on a key (``rows``: key, set, spare), the hub for all of a key's.
+    """Pairs (hub, member) of sets that meet on a key (``rows``: key, set, spare), the hub for all of a key's; they may repeat.
 
-    A set first leaves out as many of its commonest keys as it can spare.
+    A set first leaves out as many of its commonest keys as it can spare. Any order of the keys that all sets share
+    will do, so members are counted up to a bound.
     """
-    met = stored(met_keys(rows), "met").withColumnRenamed("member", "set")
-    often = met.groupBy("key").agg(F.count("*").alias("n"))
+    met = met_keys(rows, "n").withColumnRenamed("member", "set")
     # A set has a bounded number of keys, by its size.
-    own = met.join(often, "key").groupBy("set", "more").agg(F.sort_array(F.collect_list(F.struct("n", "key")), asc=False).alias("keys"))
+    own = met.groupBy("set", "more").agg(F.sort_array(F.collect_list(F.struct("n", "key")), asc=False).alias("keys"))
     rest = F.slice("keys", F.shiftright("more", 1).cast("int") + 1, F.size("keys"))
-    kept = stored(own.select("set", F.explode(rest).alias("k")).select("k.key", "set"), "kept")
-    hubs = kept.groupBy("key").agg(F.min("set").alias("hub"))
-    return kept.join(hubs, "key").filter("hub <> set").select("hub", F.col("set").alias("member")).distinct()
+    kept = own.select("set", F.explode(rest).alias("k")).select("k.key", "set")
+    return shared_keys(kept).select("hub", "member")
 
 
 def _with_shingles(chosen: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -276,11 +275,10 @@ def set_groups(docs: DataFrame, length: int = 3, percent: int = 90, keys: DataFr
     """:func:`jaccard_groups` with set, the hash of the row's shingles, null for rows that can't link."""
     sized = stored(set_sizes(docs, length), "sets")
     known = docs.filter("doc_id is not null")
-    classes = stored(
+    classes = (
         sized.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")),
-        "classes",
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
     )
     rows = keyed_sets(known, length, percent) if keys is None else keys.select("key", "set", F.lit(0).cast("long").alias("spare"))
     families = components(candidates(rows), "families").withColumnsRenamed({"node": "set", "component_id": "family"})
@@ -290,7 +288,7 @@ def set_groups(docs: DataFrame, length: int = 3, percent: int = 90, keys: DataFr
     found = stored(linked_sets(chosen, texts, length, percent), "links")
     groups = components(found.select("set", "to"), "groups").withColumnsRenamed({"node": "set", "component_id": "group"})
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
-    grouped_classes = classes.join(groups, "set")
+    grouped_classes = chosen.select("set", "doc_id").join(groups, "set")
     least = grouped_classes.groupBy("group").agg(F.min("doc_id").alias("least"))
     own = (
         classes.join(links, "set", "left")

@@ -19,6 +19,8 @@ from tagloom.session import scratch_path
 BLOCK_BYTES = 1 << 20
 #: Digits of a number within a part of a sieve (8 KB).
 SIEVE_PART = 16
+#: Members of a key are counted up to this number.
+MOST_MEMBERS = 1 << 18
 _RANDOM = np.random.default_rng(20240607)
 #: A random 64-bit number for each byte, and for each byte with A-Z in lower case.
 BYTE_CODES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -240,7 +242,16 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple | None = None  # key and member of the last row
-    waiting: list | None = None  # the only row of the last key so far
+    held: list[list[np.ndarray]] = []  # the last key's rows that wait for its number
+    waiting = passed = 0  # how many these are, and how many went on before them
+
+    def out(rows: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        keep = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in (*rows, n)], ["key", "member", "more", "n"])
+
+    def whole() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held, strict=True)]
+
     for batch in batches:
         rows = [np.asarray(batch.column(c)) for c in range(3)]
         if not len(rows[0]):
@@ -248,29 +259,44 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.zeros(len(rows[0]), bool)
         same[1:] = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
         same[0] = last == (rows[0][0], rows[1][0])
-        goes_on = last is not None and last[0] == rows[0][0] and waiting is None
-        last = (rows[0][-1], rows[1][-1])
+        before, last = last, (rows[0][-1], rows[1][-1])
         rows = [r[~same] for r in rows]
-        if waiting is not None:
-            rows = [np.concatenate([[w], r]) for w, r in zip(waiting, rows, strict=True)]
         if not len(rows[0]):
             continue
-        new = np.ones(len(rows[0]), bool)
-        new[1:] = rows[0][1:] != rows[0][:-1]
-        run = np.cumsum(new) - 1
-        keep = np.bincount(run)[run] > 1
-        if goes_on:
-            keep |= (run == 0) & (rows[0] == rows[0][0])
-        waiting = None if keep[-1] else [r[-1] for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], ["key", "member", "more"])
-
-
-def met_keys(rows: DataFrame) -> DataFrame:
+        goes_on = before is not None and before[0] == rows[0][0]
+        edges = [0, *(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1), len(rows[0])]
+        if held and (not goes_on or len(edges) > 2):
+            # The key that waits ends here.
+            first = edges[1] if goes_on else 0
+            held.append([r[:first] for r in rows])
+            yield out(whole(), np.full(waiting + first, min(waiting + first + passed, MOST_MEMBERS), np.int64))
+            rows, edges = [r[first:] for r in rows], [e - first for e in (edges[1:] if goes_on else edges)]
+            held, waiting, passed, goes_on = [], 0, 0, False
+        if not goes_on:
+            passed = 0
+        counts = np.diff(edges)
+        if len(counts) > 1:
+            counts[0] += passed
+            n = np.repeat(np.minimum(counts[:-1], MOST_MEMBERS), np.diff(edges)[:-1])
+            yield out([r[: edges[-2]] for r in rows], n)
+            passed = 0
+        held.append([r[edges[-2] :] for r in rows])
+        waiting += len(held[-1][0])
+        if waiting + passed >= MOST_MEMBERS:
+            yield out(whole(), np.full(waiting, MOST_MEMBERS, np.int64))
+            held, waiting, passed = [], 0, MOST_MEMBERS
+    if held:
+        yield out(whole(), np.full(waiting, min(waiting + passed, MOST_MEMBERS), np.int64))
+
+
+def met_keys(rows: DataFrame, number: str | None = None) -> DataFrame:
     """The rows (key, member, more) of keys that several members have, each member once for a key.
 
-    ``rows`` has three long columns without nulls, and equal members of a key have the same third. Rows are
-    sorted by Spark and read as a stream, so a key with any number of members needs no memory.
+    ``rows`` has three long columns without nulls, and equal members of a key have the same third. ``number``
+    names a further column: how many members the key has, or ``MOST_MEMBERS`` if there are more. Rows are
+    sorted by Spark and read as a stream that holds so many of a key at most, so a key can have any number of members.
     """
     key, member, _ = rows.columns
     dealt = rows.repartition(key).sortWithinPartitions(key, member)
-    return dealt.mapInArrow(_met, "key long, member long, more long")
+    met = dealt.mapInArrow(_met, "key long, member long, more long, n long")
+    return met.withColumnRenamed("n", number) if number else met.drop("n")

@@ -109,6 +109,53 @@ def test_met_keys(spark):
     assert sorted(map(tuple, found)) == sorted((k, min(own), m) for k, own in members.items() for m in own if m != min(own))
 
 
+def test_met_keys_count_members_up_to_a_bound(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    monkeypatch.setattr(shared, "MOST_MEMBERS", 6)
+    for _ in range(200):
+        rows = sorted((rng.randrange(4), rng.randrange(12)) for _ in range(rng.randrange(1, 60)))
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(8)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.record_batch([pa.array([(*r, r[1])[c] for r in part], pa.int64()) for c in range(3)], ["key", "member", "more"]) for part in parts]
+        found = [tuple(r.values()) for batch in shared._met(iter(batches)) for r in batch.to_pylist()]
+        own = {k: {m for key, m in rows if key == k} for k, _ in rows}
+        assert found == sorted((k, m, m, min(6, len(own[k]))) for k in own for m in own[k] if len(own[k]) > 1)
+
+
+def test_candidates_meet_on_their_rarest_keys_and_store_nothing(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(jaccard, "stored", fail)
+    # Key 1 is common to all; 2 to 7 each to two sets. One key can be spared by sets 0 to 5, none by set 6.
+    rows = [(1, m, 2 * (m < 6)) for m in range(7)] + [(2 + m // 2, m, 2) for m in range(6)] + [(7, 6, 0), (7, 5, 2), (8, 6, 0)]
+    found = jaccard.candidates(spark.createDataFrame(rows, "key long, set long, spare long")).collect()
+    assert {tuple(r) for r in found} == {(0, 1), (2, 3), (4, 5), (5, 6)}
+
+
+def test_components_of_a_long_path_need_no_rounds_if_a_task_holds_it(spark, monkeypatch):
+    names = []
+    stored = groups.stored
+    monkeypatch.setattr(groups, "stored", lambda df, name: names.append(name) or stored(df, name))
+    found = groups.components(spark.range(400).selectExpr("id AS a", "id + 1 AS b").coalesce(1)).collect()
+    assert sorted(map(tuple, found)) == [(k, 0) for k in range(401)]
+    assert len(names) == 2
+
+
+def test_stars_reach_what_edges_reach():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 60, 400):
+        a, b = rng.integers(0, n + 1, (2, n))
+        a, b = np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
+        node, to = groups.stars(a, b)
+        hits = np.zeros((n + 1, n + 1), bool)
+        hits[a, b] = hits[b, a] = True
+        label = jaccard.local_components(hits)
+        assert dict(zip(node.tolist(), to.tolist(), strict=True)) == {k: int(x) for k, x in enumerate(label) if x != k}
+
+
 def test_words_and_shingles_of_blocks():
     import pyarrow as pa
 
