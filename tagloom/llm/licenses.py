@@ -1,17 +1,20 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A multinomial logistic regression on hashed words and word pairs tells licence families from plain
-prose. It learns from the notices below, with words left out at random, and from a bounded sample of the
-corpus's own paragraphs. What looks like a licence but is not as sure as the family's confidence limit
-asks, or doesn't contain a template of its family, is ``unknown``. The limit is calibrated on prose that the
-model hasn't seen. Built-in functions and Spark's own models only: nothing runs in Python.
+Two logistic regressions on hashed words and word pairs: one tells licences from plain prose, one the
+families of licences. Both learn from the notices below, with words left out at random, the first also from
+the corpus's own paragraphs: every different one belongs to the half that teaches or to the half that
+calibrates. What looks like a licence but is not as sure as the confidence limit asks, or doesn't contain a
+template of its family, is ``unknown``. The limit is calibrated on the prose that the model hasn't seen.
+Built-in functions and Spark's own models only: nothing runs in Python.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 from operator import and_, or_
+from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -78,12 +81,12 @@ NOTICES = {
     "unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
-PROSE, UNKNOWN = "none", "unknown"
-CLASSES = (PROSE, *NOTICES)
+UNKNOWN = "unknown"
+FAMILIES = tuple(NOTICES)
 #: Hashed features.
 FEATURES = 1 << 14
-#: Paragraphs of the corpus that teach what prose is (half of them calibrate), and copies of each notice.
-MOST_PROSE, COPIES = 6_000, 24
+#: Copies of each notice, and the weight of all prose for one of each family.
+COPIES, PROSE_WEIGHT = 24, 4.0
 #: Part of a template's word pairs that must stand in a paragraph to confirm it.
 CONFIRMED = 0.6
 #: Share of unseen prose that must stay below the confidence limit, and the least limit.
@@ -156,7 +159,7 @@ def groups_of(docs: DataFrame) -> DataFrame:
 
 
 def words_of(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}]++(?:[.-][\p{L}\p{N}]++)*+"), F.lit(0))
 
 
 def pairs_of(words: Column) -> Column:
@@ -178,68 +181,99 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="features", outputCol="vector").transform(rows)
 
 
-def _drawn(*of: Column | str) -> Column:
-    """A number between 0 and 1 from a hash."""
-    return F.pmod(F.xxhash64(*of), F.lit(1_000_003)) / F.lit(1_000_003.0)
+class Models(NamedTuple):
+    """What tells licences from prose, and the families of licences."""
 
+    licence: LogisticRegressionModel
+    family: LogisticRegressionModel
 
-def train(docs: DataFrame) -> tuple[LogisticRegressionModel, float]:
-    """Fit on the notices and a sample of the lines of ``docs``: the model and its confidence limit.
 
-    At most about ``MOST_PROSE`` lines are drawn, by a hash of the line, so equal lines are drawn or not
-    together; lines that share two word pairs with a template are no prose. Without any, the limit is ``LEAST``.
-    """
-    spark = docs.sparkSession
-    notices = _notices(spark)
-    known = F.array(*[F.lit(p) for p in sorted(_template_pairs(notices))])
-    n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    lines = lines_of(docs).filter(_drawn(F.lit("prose"), "line") < F.lit(min(1.0, MOST_PROSE / max(1, n))))
-    drawn = paragraphs(lines).filter(F.size(F.array_intersect("features", known)) < 2)
-    drawn = stored(drawn.select("words", "features").distinct(), "prose")
-    fit_on = F.pmod(F.xxhash64("words", F.lit("fit")), F.lit(2)) == 0
-    label = {k: float(i) for i, k in enumerate(CLASSES)}
-    labels = F.element_at(F.create_map(*[F.lit(x) for kv in label.items() for x in kv]), F.col("family"))
+def _teaches(words: Column) -> Column:
+    """Whether prose of these words teaches; else it calibrates."""
+    return F.pmod(F.xxhash64(words, F.lit("fit")), F.lit(2)) == 0
+
+
+def _known(words: Column, known: set[str]) -> Column:
+    """Whether a text holds two of the word pairs of templates: then it is no prose."""
+    return F.size(F.array_distinct(F.filter(pairs_of(words), lambda p: p.isin(*sorted(known))))) >= 2
+
+
+def prose(docs: DataFrame) -> DataFrame:
+    """Each different line of ``docs`` (equal words are one) that does not share two word pairs with a template: ``teaches``
+    and ``vector``, which is empty for those that don't teach."""
+    known = _template_pairs(_notices(docs.sparkSession))
+    found = once(lines_of(docs), "words", words_of(F.col("line"))).drop("line").filter(F.size("words") > 0)
+    # generated, so that words and pairs are not worked out again for each mention
+    found = once(found, "teaches", F.when(~_known(F.col("words"), known), _teaches(F.col("words")))).filter("teaches IS NOT NULL")
+    # No word holds a space. Of those that only count no words are sent.
+    text = F.when(F.col("teaches"), F.array_join("words", " "))
+    codes = [F.when(~F.col("teaches"), F.xxhash64(*c)) for c in (["words"], [F.lit("other"), F.col("words")])]
+    different = found.select("teaches", text.alias("text"), codes[0].alias("code"), codes[1].alias("code_2")).distinct()
+    features = F.when(F.col("teaches"), _features(F.split("text", " "))).otherwise(F.array().cast("array<string>"))
+    return stored(_hashed(different.withColumn("features", features)).select("teaches", "vector"), "prose")
+
+
+def train(docs: DataFrame) -> tuple[Models, int]:
+    """Fit on the notices and the lines of ``docs``: the models, and how many lines of prose are left to calibrate with (:func:`limit_of`)."""
+    lines = prose(docs)
+    counts = {r["teaches"]: r["n"] for r in lines.groupBy("teaches").agg(F.count("*").alias("n")).collect()}
     # Copies with up to three words in ten left out; the first is whole.
+    notices = _notices(docs.sparkSession)
     copies = notices.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).withColumn(
         "words",
         F.expr("filter(words, (w, i) -> copy = 0 OR pmod(xxhash64(w, i, copy), 1000) >= 300 * copy / %d)" % COPIES),
     )
-    taught = copies.select("family", "words").union(drawn.filter(fit_on).select(F.lit(PROSE).alias("family"), "words"))
-    taught = _hashed(taught.withColumn("features", _features(F.col("words")))).select(labels.alias("label"), "family", "vector")
-    counts = {r["family"]: r["n"] for r in taught.groupBy("family").agg(F.count("*").alias("n")).collect()}
-    weight = F.element_at(
-        F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, (4.0 if k == PROSE else 1.0) / c)]), F.col("family")
+    per = F.element_at(_by_family({k: 1000.0 / (COPIES * len(texts)) for k, texts in NOTICES.items()}), F.col("family"))
+    number = F.element_at(_by_family({k: float(i) for i, k in enumerate(FAMILIES)}), F.col("family"))
+    copies = _hashed(copies.withColumn("features", _features(F.col("words"))).coalesce(1)).select(
+        "vector", number.alias("number"), per.alias("weight")
     )
-    taught = taught.withColumn("weight", weight * 1000.0).persist()
-    try:
-        model = LogisticRegression(
-            featuresCol="vector", labelCol="label", weightCol="weight", family="multinomial",
-            maxIter=40, regParam=1e-3, standardization=False,
-        ).fit(taught)
-    finally:
-        taught.unpersist()
-    unseen = _scored(drawn.filter(~fit_on), model)
-    limit = unseen.agg(F.percentile_approx("probability", SURE, 10_000)).first()[0]
-    return model, max(LEAST, limit or 0.0)
+    of_prose = F.lit(1000.0 * PROSE_WEIGHT / max(1, counts.get(True, 0)))
+    taught = copies.select("vector", F.lit(1.0).alias("label"), "weight").union(
+        lines.filter("teaches").select("vector", F.lit(0.0), of_prose)
+    )
+    fixed = {"featuresCol": "vector", "weightCol": "weight", "maxIter": 40, "regParam": 1e-3, "standardization": False}
+    licence = LogisticRegression(labelCol="label", family="binomial", **fixed).fit(taught)
+    family = LogisticRegression(labelCol="number", family="multinomial", **fixed).fit(copies)
+    return Models(licence, family), counts.get(False, 0)
+
+
+def _by_family(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
 def _template_pairs(notices: DataFrame) -> set[str]:
     return {r["p"] for r in notices.select(F.explode(pairs_of(F.col("words"))).alias("p")).distinct().collect()}
 
 
-def _scored(lines: DataFrame, model: LogisticRegressionModel) -> DataFrame:
-    """Add none (probability of prose), family (the likeliest) and its probability."""
-    p = vector_to_array("_p")
-    families = F.array(*[F.lit(k) for k in CLASSES])
-    scored = model.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c").transform(_hashed(lines))
+def limit_of(lines: DataFrame, unseen: int) -> float:
+    """The confidence that ``SURE`` of the ``unseen`` lines of prose don't exceed, ``LEAST`` at least.
+
+    ``lines`` has probability and unseen (the words of lines of prose that did not teach, else null) of all lines that are
+    likelier a licence than prose: the others are below ``LEAST``.
+    """
+    above = unseen - math.ceil(SURE * unseen) + 1
+    highest = lines.filter("unseen IS NOT NULL").select("unseen", "probability").distinct().orderBy(F.desc("probability")).limit(above)
+    found = highest.agg(F.count("*").alias("n"), F.min("probability").alias("least")).first()
+    return max(LEAST, found["least"]) if found["n"] == above else LEAST
+
+
+def _probabilities(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+    """Add the probabilities of all classes as ``_all``."""
+    rows = model.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c").transform(rows)
     # generated, so that a filter on the result doesn't work the model out again
-    scored = once(scored, "_all", p).drop("_p", "_r", "_c", "vector")
-    rest = F.slice("_all", 2, len(CLASSES) - 1)
+    return once(rows, "_all", vector_to_array("_p")).drop("_p", "_r", "_c")
+
+
+def _likely(lines: DataFrame, models: Models) -> DataFrame:
+    """Those that are likelier a licence than prose, with family (the likeliest) and its probability."""
+    licence = _probabilities(_hashed(lines), models.licence).withColumn("_licence", F.element_at("_all", 2)).drop("_all")
+    found = _probabilities(licence.filter("_licence > 0.5"), models.family).drop("vector")
+    families = F.array(*[F.lit(k) for k in FAMILIES])
     return (
-        scored.withColumn("none", F.element_at("_all", 1))
-        .withColumn("probability", F.array_max(rest))
-        .withColumn("family", F.element_at(families, (F.array_position(rest, F.array_max(rest)) + 1).cast("int")))
-        .drop("_all")
+        found.withColumn("probability", F.col("_licence") * F.array_max("_all"))
+        .withColumn("family", F.element_at(families, F.array_position("_all", F.array_max("_all")).cast("int")))
+        .drop("_all", "_licence")
     )
 
 
@@ -254,10 +288,12 @@ def scan(docs: DataFrame) -> DataFrame:
     lines is for the same family, or is likelier a licence than prose and none of its lines has a row. Null and
     empty texts and lines without letters or digits give no rows; repeated rows are scanned as often as they occur.
     """
-    model, limit = train(docs)
+    models, unseen = train(docs)
     single = unnest(docs, F.split("text", "\n"), ["doc_id", F.xxhash64("text").alias("text_hash")], "line", "paragraph")
-    lines = stored(_compared(single.withColumn("n_lines", F.lit(1)), model, limit), "lines")
-    groups = stored(_compared(groups_of(docs), model, limit), "groups")
+    lines = stored(_compared(single.withColumn("n_lines", F.lit(1)), models), "lines")
+    groups = stored(_compared(groups_of(docs), models), "groups")
+    limit = limit_of(lines, unseen)
+    lines, groups = _judged(lines, limit), _judged(groups, limit)
     own = [c for c in lines.columns if c != "text_hash"]
     return lines.select(*own).union(_over_lines(lines, groups).select(*own))
 
@@ -292,24 +328,40 @@ def _over_lines(lines: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _compared(lines: DataFrame, model: LogisticRegressionModel, limit: float) -> DataFrame:
+def _compared(lines: DataFrame, models: Models) -> DataFrame:
     """Lines or groups that are likelier a licence than prose, compared with the templates of their family."""
-    pairs = F.array_distinct(pairs_of(F.col("words")))
-    templates = _notices(lines.sparkSession).groupBy("family").agg(F.collect_list(pairs).alias("templates"))
-    found = _scored(paragraphs(lines), model).filter("none < 0.5")
-    compared = found.join(F.broadcast(templates), "family").withColumn("_pairs", pairs_of(F.col("words"))).withColumn(
+    notices = _notices(lines.sparkSession)
+    templates = notices.groupBy("family").agg(F.collect_list(F.array_distinct(pairs_of(F.col("words")))).alias("templates"))
+    words = F.col("words")
+    is_unseen = ~_known(words, _template_pairs(notices)) & ~_teaches(words)
+    found = _likely(paragraphs(lines), models)
+    compared = found.join(F.broadcast(templates), "family").withColumn("_pairs", pairs_of(words)).withColumn(
         "similarity",
         F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect("_pairs", t)) / F.size(t))),
     )
-    confirmed = (F.col("probability") >= limit) & (F.col("similarity") >= CONFIRMED)
     return compared.select(
         "doc_id",
         "text_hash",
         "paragraph",
-        F.when(confirmed, F.col("family")).otherwise(UNKNOWN).alias("family"),
         F.col("family").alias("likeliest"),
         "probability",
         "similarity",
+        "n_lines",
+        F.when(is_unseen, F.array_join(words, " ")).alias("unseen"),
+    )
+
+
+def _judged(compared: DataFrame, limit: float) -> DataFrame:
+    """Name the family of those that are sure and hold a template."""
+    confirmed = (F.col("probability") >= limit) & (F.col("similarity") >= CONFIRMED)
+    return compared.select(
+        "doc_id",
+        "text_hash",
+        "paragraph",
+        F.when(confirmed, F.col("likeliest")).otherwise(UNKNOWN).alias("family"),
+        "likeliest",
+        "probability",
+        "similarity",
         confirmed.alias("confirmed"),
         "n_lines",
     )
