@@ -280,6 +280,41 @@ def test_fits_run_beside_each_other(blobs, monkeypatch):
     assert list(sse) == [1, 2, 3, 4] and sse[3] == pytest.approx(fitted.summary.trainingCost)
 
 
+def test_a_pass_takes_a_step_of_every_k(spark, monkeypatch):
+    """Spark's fits see drawn vectors only, the steps of all k share their passes and are Lloyd's, and what is left is as with Spark's fits."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(150, 4)) + [1e4, 0, 0, 0]
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>").repartition(3).persist()
+    passes, step, starts, settled = [], cluster._step, {}, cluster._settled
+    monkeypatch.setattr(cluster, "_step", lambda *a: passes.append(sorted(a[1])) or step(*a))
+    monkeypatch.setattr(cluster, "_settled", lambda *a: starts.update(a[1]) or settled(*a))
+    sse = {r.k: r.sse for r in cluster.elbow(points, "v", max_k=5).collect()}
+    flat = {r.k: r.sse for r in cluster.elbow(points, "v", max_k=5, dimensions=2).collect()}
+    assert [2, 3, 4, 5] in passes
+    ready = points.select(cluster.as_ml_vector("v").alias("features"))
+    for k in range(2, 6):
+        centres = starts[k] + x.mean(0)
+        for _ in range(300):
+            own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+            left, before = ((x - centres[own]) ** 2).sum(), centres
+            centres = np.array([x[own == j].mean(0) for j in range(k)])
+            if ((centres - before) ** 2).sum(1).max() <= 1e-8:
+                break
+        assert sse[k] == pytest.approx(left, rel=1e-6)
+        assert flat[k] == pytest.approx(((x - centres[own])[:, :2] ** 2).sum(), rel=1e-6)
+        fitted = cluster.KMeans(k=k, seed=cluster.CLUSTER_SEED, initMode="k-means||", maxIter=300).fit(ready)
+        assert sse[k] < 1.1 * fitted.summary.trainingCost
+
+
+def test_elbow_of_alike_vectors(spark):
+    """Fewer different vectors than clusters: nothing is left."""
+    few = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(40)], "id int, v array<double>")
+    sse = {r.k: r.sse for r in cluster.elbow(few, "v", max_k=4).collect()}
+    assert sse == {1: pytest.approx(10), **{k: pytest.approx(0, abs=1e-9) for k in (2, 3, 4)}}
+    same = spark.createDataFrame([(i, [3.0]) for i in range(5)], "id int, v array<double>")
+    assert [r.sse for r in cluster.elbow(same, "v", max_k=3).collect()] == [0, 0, 0]
+
+
 def test_a_task_compares_few_vectors_at_once(points, monkeypatch):
     """Scores of a step are bounded, whatever the size of a batch; ties go to the smaller id as before."""
     queries = points.select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
