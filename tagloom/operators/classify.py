@@ -9,10 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LogisticRegression,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import RobustScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +21,7 @@ from tagloom.functions import arrays as fn
 from tagloom.functions import text as words
 from tagloom.functions.values import as_column
 from tagloom.operators.evaluate import accuracy_matrix
-from tagloom.operators.forest import RandomForest
+from tagloom.operators.forest import DecisionTree, RandomForest
 from tagloom.operators.joins import lookup_join
 from tagloom.operators.kernels import KernelSVM, LinearSVM
 from tagloom.operators.labels import encode_labels, train_test_split
@@ -53,7 +50,7 @@ def classifiers(
         LOGISTIC_REGRESSION: LogisticRegression(family="multinomial", maxIter=400),
         SVM: linear if kernel == "linear" else KernelSVM(max_iter=svm_iterations, seed=seed),
         RANDOM_FOREST: RandomForest(trees, max_depth, seed),
-        DECISION_TREE: DecisionTreeClassifier(maxDepth=max_depth, seed=seed),
+        DECISION_TREE: DecisionTree(max_depth, seed),
     }
 
 

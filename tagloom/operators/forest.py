@@ -58,8 +58,10 @@ def _random(*parts) -> np.ndarray:
     return (out >> np.uint64(11)) * 2.0**-53
 
 
-def _drawn(seed: int, tree: int, rows: np.ndarray) -> np.ndarray:
-    """How often each row is in a tree's sample with replacement."""
+def _drawn(seed: int | None, tree: int, rows: np.ndarray) -> np.ndarray:
+    """How often each row is in a tree's sample with replacement; without a seed, once."""
+    if seed is None:
+        return np.ones(len(rows), np.int64)
     return np.searchsorted(_POISSON, _random(seed, 1, tree, rows), side="right")
 
 
@@ -185,6 +187,9 @@ def _binned(cuts: list[np.ndarray], names: list[str]):
 class RandomForest:
     """Fits like the other classifiers. A split looks at the root of the number of features, at all if there is one tree."""
 
+    #: Whether a tree learns from drawn rows; else from every row once.
+    draws = True
+
     def __init__(self, trees: int = 100, max_depth: int = 30, seed: int = SPLIT_SEED):
         self.trees, self.max_depth, self.seed = trees, max_depth, seed
         self.features_column, self.label_column, self.prediction_column = "features", "label", "prediction"
@@ -220,15 +225,25 @@ class RandomForest:
         )
         rows = stored(binned, "forest_rows")
         k = seen["size"] if self.trees == 1 else math.ceil(math.sqrt(seen["size"]))
-        grower = _Grower(rows, seen["size"], seen["last"] + 1, k, self.trees, self.max_depth, self.seed)
+        grower = _Grower(rows, seen["size"], seen["last"] + 1, k, self.trees, self.max_depth, self.seed, self.draws)
         tops, leaves = grower.tops(seen["n"])
         parts = grower.parts(tops).union(train.sparkSession.createDataFrame(leaves, _GROWN))
         return ForestModel(cuts, tops, stored(parts, "forest_parts"), seen["last"] + 1, self.features_column, self.prediction_column)
 
 
+class DecisionTree(RandomForest):
+    """One tree from every row and all features, grown like those of a forest."""
+
+    draws = False
+
+    def __init__(self, max_depth: int = 30, seed: int = SPLIT_SEED):
+        super().__init__(1, max_depth, seed)
+
+
 class _Grower:
-    def __init__(self, rows: DataFrame, size: int, classes: int, k: int, trees: int, max_depth: int, seed: int):
+    def __init__(self, rows: DataFrame, size: int, classes: int, k: int, trees: int, max_depth: int, seed: int, draws: bool = True):
         self.rows, self.size, self.classes, self.k, self.trees, self.max_depth, self.seed = rows, size, classes, k, trees, max_depth, seed
+        self.draw = seed if draws else None
 
     def tops(self, n: int) -> tuple[list[Tree], list[tuple]]:
         """The splits of large nodes, and the leaves among these nodes (rows of the table of parts)."""
@@ -257,7 +272,7 @@ class _Grower:
 
     def _splits(self, tops: list[Tree], large: list[tuple[int, int]]) -> DataFrame:
         """The best split of each of these nodes, a row each."""
-        size, classes, k, seed = self.size, self.classes, self.k, self.seed
+        size, classes, k, seed, draw = self.size, self.classes, self.k, self.seed, self.draw
         wanted: dict[int, np.ndarray] = {}
         for tree, number in large:
             wanted[tree] = np.append(wanted.get(tree, np.array([], np.int64)), number)
@@ -267,7 +282,7 @@ class _Grower:
             for batch in _steps(batches):
                 bins, row, label = _bytes(batch.column("bins"), size), np.asarray(batch.column("row")), np.asarray(batch.column("label"))
                 for tree, numbers in wanted.items():
-                    weight = _drawn(seed, tree, row)
+                    weight = _drawn(draw, tree, row)
                     numbers = np.sort(numbers)
                     at = tops[tree].number[_walk(tops[tree], bins)]
                     slot = np.minimum(np.searchsorted(numbers, at), len(numbers) - 1)
@@ -297,7 +312,7 @@ class _Grower:
 
     def parts(self, tops: list[Tree]) -> DataFrame:
         """What is below the nodes that hold few rows, a row per node."""
-        size, classes, k, seed, max_depth = self.size, self.classes, self.k, self.seed, self.max_depth
+        size, classes, k, seed, max_depth, draw = self.size, self.classes, self.k, self.seed, self.max_depth, self.draw
         schema = "tree int, node long, bins binary, label binary, weight binary"
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +320,7 @@ class _Grower:
                 bins, row = _bytes(batch.column("bins"), size), np.asarray(batch.column("row"))
                 label = np.asarray(batch.column("label"), np.int32)
                 for number, tree in enumerate(tops):
-                    weight = _drawn(seed, number, row).astype(np.uint8)
+                    weight = _drawn(draw, number, row).astype(np.uint8)
                     own = np.flatnonzero(weight)
                     at = _walk(tree, bins[own])
                     keep = tree.feature[at] == PART

@@ -82,26 +82,47 @@ def fit_machines(rows: DataFrame, max_iter: int, penalty: float = 0.0, standardi
     scale = np.divide(1.0, width, out=np.zeros_like(width), where=width > 0)
     weigh = penalty * (np.ones_like(scale) if standardize else scale**2)
     classes = [_Descent(len(scale) + 1, max_iter) for _ in range(int(seen["last"]) + 1)]
+    # every pass reads these: scaled, and many packed into one row
+    packed = rows.select("label", "x").mapInArrow(_scaled(scale), "labels binary, xs binary").persist()
+    try:
+        return _descended(packed, classes, seen["n"], weigh) * np.append(scale, 1.0)
+    finally:
+        packed.unpersist()
+
+
+def _descended(packed: DataFrame, classes: list[_Descent], n: int, weigh: np.ndarray) -> np.ndarray:
+    """The best point of each class."""
     while moving := [k for k, c in enumerate(classes) if not c.done]:
         points = np.array([classes[k].point for k in moving])
-        told = rows.mapInArrow(_hinge(np.array(moving), points, scale), "place int, loss double, slope array<double>")
+        told = packed.mapInArrow(_hinge(np.array(moving), points), "place int, loss double, slope array<double>")
         # one row of sums per class
         summed = told.groupBy("place").agg(F.sum("loss").alias("loss"), Summarizer.sum(array_to_vector("slope")).alias("slope"))
         for row in summed.collect():
             w = points[row["place"]][:-1]
-            slope = row["slope"].toArray() / seen["n"] + np.append(weigh * w, 0.0)
-            classes[moving[row["place"]]].told(row["loss"] / seen["n"] + (weigh * w * w).sum() / 2, slope)
-    return np.array([c.best * np.append(scale, 1.0) for c in classes])
+            slope = row["slope"].toArray() / n + np.append(weigh * w, 0.0)
+            classes[moving[row["place"]]].told(row["loss"] / n + (weigh * w * w).sum() / 2, slope)
+    return np.array([c.best for c in classes])
 
 
-def _hinge(labels: np.ndarray, points: np.ndarray, scale: np.ndarray):
+def _scaled(scale: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, slope = np.zeros(len(points)), np.zeros(points.shape)
         for whole in batches:
             for at in range(0, whole.num_rows, STEP_ROWS):
                 batch = whole.slice(at, STEP_ROWS)
                 x = np.asarray(batch.column("x").flatten(), np.float64).reshape(batch.num_rows, -1) * scale
-                sign = np.where(np.asarray(batch.column("label"))[:, None] == labels, 1.0, -1.0)
+                columns = [np.asarray(batch.column("label"), np.float64).tobytes(), x.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["labels", "xs"])
+
+    return run
+
+
+def _hinge(labels: np.ndarray, points: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, slope = np.zeros(len(points)), np.zeros(points.shape)
+        for batch in batches:
+            for label, xs in zip(batch.column("labels"), batch.column("xs"), strict=True):
+                x = np.frombuffer(xs.as_buffer(), np.float64).reshape(-1, points.shape[1] - 1)
+                sign = np.where(np.frombuffer(label.as_buffer(), np.float64)[:, None] == labels, 1.0, -1.0)
                 lacks = 1.0 - sign * (x @ points[:, :-1].T + points[:, -1])
                 loss += np.maximum(lacks, 0.0).sum(0)
                 push = np.where(lacks > 0, -sign, 0.0)

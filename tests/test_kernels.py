@@ -78,3 +78,15 @@ def test_all_classes_are_fitted_in_the_same_passes(rings):
     sign = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
     loss = np.maximum(0, 1 - sign * (x @ machines[:, :-1].T + machines[:, -1])).mean(0)
     assert (loss <= 1.0).all() and np.isfinite(loss).all()
+
+
+def test_passes_read_packed_rows(rings):
+    """Each pass of a machine reads a row per step of vectors, not one per vector."""
+    rows = rings.select(F.col("y").cast("double").alias("label"), F.col("v").alias("x")).coalesce(1)
+    n = rows.count()
+    packed = rows.mapInArrow(kernels._scaled(np.array([2.0, 0.5])), "labels binary, xs binary").collect()
+    assert len(packed) == -(-n // kernels.STEP_ROWS)
+    x = np.concatenate([np.frombuffer(r["xs"]).reshape(-1, 2) for r in packed])
+    label = np.concatenate([np.frombuffer(r["labels"]) for r in packed])
+    want = rows.collect()
+    assert np.allclose(x, np.array([r["x"] for r in want]) * [2.0, 0.5]) and label.tolist() == [r["label"] for r in want]
